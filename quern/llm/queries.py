@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import decontaminate, encoding, exact_dedup, jaccard_join, packing, secrets, token_files, toxicity, warc
+from quern.llm import decontaminate, encoding, exact_dedup, jaccard_join, katz, packing, secrets, token_files, toxicity, warc
 from quern.sources.shipping import ship
 
 
@@ -31,6 +31,10 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_secrets(table(spark, sf_dir, "documents"))
 
 
+def op4_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.score_corpus(table(spark, sf_dir, "documents"))[0]
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), encoding.default_path("word_bpe_49k.json"))
 
@@ -67,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
     "op2_toxicity": op2_toxicity,
     "op3_secrets": op3_secrets,
+    "op4_katz": op4_katz,
     "op5_packing": op5_packing,
     "op7_decontaminate": op7_decontaminate,
     "op8_warc": op8_warc,
