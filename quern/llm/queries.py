@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import decontaminate, encoding, exact_dedup, jaccard_join, katz, packing, secrets, token_files, toxicity, warc
+from quern.llm import decontaminate, encoding, exact_dedup, jaccard_join, katz, licenses, packing, secrets, token_files, toxicity, warc
 from quern.sources.shipping import ship
 
 
@@ -39,6 +39,18 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), encoding.default_path("word_bpe_49k.json"))
 
 
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan_licenses(table(spark, sf_dir, "documents"))
+    m = F.col("matches")
+    return found.select(
+        "doc_id",
+        F.size(m).cast("long").alias("n_matches"),
+        F.array_join(F.array_sort(F.array_distinct(F.transform(m, lambda x: x["template"]))), ",").alias("licenses"),
+        F.array_join(F.transform(m, lambda x: F.concat_ws(":", x["template"], x["start"], x["end"])), ",").alias("spans"),
+        F.round(F.array_max(F.transform(m, lambda x: x["containment"])), 6).alias("best_containment"),
+    )
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontaminate.find_benchmark_passages(docs, table(spark, sf_dir, "benchmark"))
@@ -73,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_secrets": op3_secrets,
     "op4_katz": op4_katz,
     "op5_packing": op5_packing,
+    "op6_licenses": op6_licenses,
     "op7_decontaminate": op7_decontaminate,
     "op8_warc": op8_warc,
     "op9_jaccard_join": op9_jaccard_join,
