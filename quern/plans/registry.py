@@ -1,10 +1,482 @@
-"""The queries of the retrieval engine and their SQL, by name."""
+"""The queries of the retrieval engine over the test tables, and their SQL, by name.
+
+Documents stand in for chunks: a document's collection is that of its source, its file doc_<id>. Each
+query reads its whole tables.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quern.functions import ids, scoring, text
+from quern.operators import chunking, collections, enrich, markdown, search, stats, views
+from quern.plans import sql
+from quern.sources import readers
+from quern.sources.shipping import ship
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(oracle: str | None = None) -> Callable[[Query], Query]:
+    def add(fn: Query) -> Query:
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship(spark)
+            return fn(spark, sf_dir)
+
+        QUERIES[fn.__name__] = run
+        if oracle:
+            ORACLE_SQL[fn.__name__] = oracle
+        return fn
+
+    return add
+
+
+def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return readers.table(spark, sf_dir, "documents")
+
+
+def points(spark: SparkSession, sf_dir: str, one: bool = False) -> DataFrame:
+    """(collection, point_id, tokens) of the documents, in one collection or by source."""
+    name = F.lit("all") if one else F.concat(F.lit("docling_"), F.col("source"))
+    return docs(spark, sf_dir).select(name.alias("collection"), F.col("doc_id").alias("point_id"), text.terms(F.col("text")).alias("tokens"))
+
+
+def records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as stored points with metadata."""
+    d = docs(spark, sf_dir)
+    title = F.nullif(F.element_at(F.split("text", "\n"), 1), F.lit(""))
+    return d.select(
+        F.concat(F.lit("docling_"), F.col("source")).alias("collection"),
+        F.col("doc_id").alias("id"),
+        F.concat(F.lit("doc_"), (F.col("doc_id") % 400).cast("string")).alias("filename"),
+        F.when(F.col("doc_id") % 3 != 0, F.substring(title, 1, 40)).alias("title"),
+        F.concat(F.lit("u/"), F.col("doc_id").cast("string")).alias("url"),
+        F.when(F.col("doc_id") % 2 == 0, F.array((F.lit(1000) - F.col("doc_id") % 7).cast("int"), F.lit(900))).alias("page_numbers"),
+        F.concat(F.lit("SF-"), F.col("doc_id").cast("string")).alias("index"),
+        F.col("text"),
+    )
+
+
+RECORDS = """r AS (SELECT 'docling_' || source AS collection, doc_id AS id, 'doc_' || (doc_id % 400) AS filename, CASE WHEN doc_id % 3 <> 0 THEN substr(nullif(string_split(text, chr(10))[1], ''), 1, 40) END AS title,
+  'u/' || doc_id AS url, CASE WHEN doc_id % 2 = 0 THEN [CAST(1000 - doc_id % 7 AS INT), 900] END AS page_numbers, 'SF-' || doc_id AS index, text FROM documents)"""
+
+
+def files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Markdown files of ten documents each."""
+    body = F.concat(
+        F.lit("# Doc "), F.col("doc_id").cast("string"), F.lit("\n\n"), F.regexp_replace("text", r"\. ", ".\n\n"), F.lit("\n```\n# code\n\nx\n```\n## "), F.col("source")
+    )
+    rows = docs(spark, sf_dir).groupBy(F.floor(F.col("doc_id") / 10).alias("file")).agg(F.array_sort(F.collect_list(F.struct("doc_id", body.alias("md")))).alias("x"))
+    return rows.select("file", F.array_join(F.transform("x", lambda r: r["md"]), "\n").alias("md"))
+
+
+def item_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = readers.table(spark, sf_dir, "benchmark")
+    return b.select(F.lit("all").alias("collection"), F.col("item_id").alias("query_id"), text.terms(F.col("text")).alias("tokens"))
+
+
+def weighted(spark: SparkSession, sf_dir: str, p: DataFrame) -> DataFrame:
+    return stats.query_weights(item_queries(spark, sf_dir), stats.corpus_stats(p), stats.term_stats(p))
+
+
+def sparse(spark: SparkSession, sf_dir: str, depth: int = 20) -> DataFrame:
+    p = points(spark, sf_dir, one=True)
+    return search.sparse_topk(stats.postings(p, stats.corpus_stats(p)), weighted(spark, sf_dir, p), depth)
+
+
+def dense(spark: SparkSession, sf_dir: str, depth: int = 20) -> DataFrame:
+    e = readers.table(spark, sf_dir, "embeddings")
+    vectors = [(r.vec_id, list(r.embedding)) for r in e.filter("vec_id < 5").select("vec_id", "embedding").collect()]  # five query vectors
+    return search.dense_topk(e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("dense")), vectors, depth)
+
+
+W6 = lambda c: F.round(c, 6)
+
+
+@query(f"WITH {sql.POINTS} SELECT point_id AS doc_id, CAST(len(tokens) AS BIGINT) AS n_tokens, md5(array_to_string(tokens, ' ')) AS digest FROM points")
+def tokenize_docs(spark, sf_dir):
+    return points(spark, sf_dir).select(F.col("point_id").alias("doc_id"), F.size("tokens").cast("long").alias("n_tokens"), F.md5(F.array_join("tokens", " ")).alias("digest"))
+
+
+@query(
+    f"SELECT lang, CAST(sum(len(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+'))) AS BIGINT) AS n_raw, CAST(sum(len({sql.TERMS})) AS BIGINT) AS n_kept FROM documents GROUP BY lang"
+)
+def token_filter_stats(spark, sf_dir):
+    d = docs(spark, sf_dir).select("lang", F.size(text.runs(F.col("text"))).alias("raw"), F.size(text.terms(F.col("text"))).alias("kept"))
+    return d.groupBy("lang").agg(F.sum("raw").alias("n_raw"), F.sum("kept").alias("n_kept"))
+
+
+@query(f"WITH {sql.POINTS} SELECT collection, point_id, term, tf FROM tf")
+def term_freq(spark, sf_dir):
+    return stats.term_frequencies(points(spark, sf_dir))
+
+
+@query(f"WITH {sql.POINTS} SELECT collection, term, df FROM terms")
+def doc_freq(spark, sf_dir):
+    return stats.term_stats(points(spark, sf_dir))
+
+
+@query(f"WITH {sql.POINTS} SELECT collection, n, total_dl, round(avgdl, 6) AS avgdl FROM stats")
+def corpus_stats(spark, sf_dir):
+    return stats.corpus_stats(points(spark, sf_dir)).withColumn("avgdl", W6(F.col("avgdl")))
+
+
+@query(f"WITH {sql.POINTS} SELECT t.collection, term, round(ln((n + 1.0) / (df + 0.5)), 6) AS idf FROM terms t JOIN stats s ON s.collection = t.collection")
+def idf(spark, sf_dir):
+    p = points(spark, sf_dir)
+    rows = stats.term_stats(p).join(stats.corpus_stats(p), "collection")
+    return rows.select("collection", "term", W6(scoring.idf(F.col("n"), F.col("df"))).alias("idf"))
+
+
+@query(f"WITH {sql.POINTS}, {sql.POSTINGS} SELECT collection, point_id, term, tf, dl, round(weight, 6) AS weight FROM postings")
+def tf_norm_postings(spark, sf_dir):
+    p = points(spark, sf_dir)
+    return stats.postings(p, stats.corpus_stats(p)).select("collection", "point_id", "term", "tf", F.col("dl").cast("long").alias("dl"), W6(F.col("weight")).alias("weight"))
+
+
+@query(f"WITH {sql.ALL_POINTS}, {sql.QUERIES} SELECT query_id, term, tf, round(weight, 6) AS weight FROM qw")
+def query_weights(spark, sf_dir):
+    return weighted(spark, sf_dir, points(spark, sf_dir, one=True)).select("query_id", "term", "tf", W6(F.col("weight")).alias("weight"))
+
+
+@query(f"WITH {sql.ALL_POINTS} SELECT term, CAST(('0x' || substr(sha1(term), 1, 8))::UBIGINT AS BIGINT) AS idx FROM terms")
+def stable_hash(spark, sf_dir):
+    return stats.term_stats(points(spark, sf_dir, one=True)).select("term", ids.term_index(F.col("term")).alias("idx"))
+
+
+@query("SELECT doc_id, CAST(('0x' || substr(sha256(source || '::doc_' || doc_id || '::0'), 1, 16))::UBIGINT % 9223372036854775808 AS BIGINT) AS point_id FROM documents")
+def point_ids(spark, sf_dir):
+    name = F.concat(F.lit("doc_"), F.col("doc_id").cast("string"))
+    return docs(spark, sf_dir).select("doc_id", ids.point_id(F.col("source"), name, F.lit(0)).alias("point_id"))
+
+
+@query("SELECT doc_id, substr(md5(CASE WHEN doc_id % 2 = 0 THEN lang ELSE '' END || ':' || text), 1, 16) AS parent_id FROM documents")
+def parent_ids(spark, sf_dir):
+    return docs(spark, sf_dir).select("doc_id", ids.parent_id(F.when(F.col("doc_id") % 2 == 0, F.col("lang")), F.col("text")).alias("parent_id"))
+
+
+@query(
+    "SELECT c_custkey, 'docling_' || c_name || CASE WHEN c_nationkey % 3 = 0 THEN '' WHEN c_nationkey % 3 = 1 THEN '_sheets_' || c_nationkey ELSE '_sheets' END AS documents, "
+    "'sendable_files_' || c_name AS sendables FROM customer"
+)
+def collection_names(spark, sf_dir):
+    kind = F.col("c_nationkey") % 3
+    source, agent = F.when(kind == 0, "general").otherwise("sheets"), F.when(kind == 1, F.col("c_nationkey").cast("string"))
+    c = readers.table(spark, sf_dir, "customer")
+    return c.select("c_custkey", ids.document_collection(F.col("c_name"), source, agent).alias("documents"), ids.sendable_collection(F.col("c_name")).alias("sendables"))
+
+
+@query(f"WITH {sql.ALL_POINTS}, {sql.POSTINGS}, {sql.QUERIES}, {sql.SPARSE} SELECT query_id, id, round(score, 6) AS score, rank FROM sparse")
+def bm25_topk(spark, sf_dir):
+    return sparse(spark, sf_dir).select("query_id", "id", W6(F.col("score")).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+@query(f"WITH {sql.DENSE} SELECT query_id, id, round(score, 6) AS score, rank FROM dense")
+def dense_topk(spark, sf_dir):
+    return dense(spark, sf_dir).select("query_id", "id", W6(F.col("score")).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+def _fused(spark, sf_dir, weights=None):
+    return search.fuse(dense(spark, sf_dir), sparse(spark, sf_dir).filter("query_id < 5"), weights)
+
+
+def _fused_columns(df):
+    return df.select("query_id", "id", W6(F.col("score")).alias("score"), W6(F.col("rrf_score")).alias("rrf_score"), F.col("position").cast("long").alias("position"))
+
+
+_HYBRID = f"WITH {sql.ALL_POINTS}, {sql.POSTINGS}, {sql.QUERIES}, {sql.SPARSE}, {sql.DENSE}, "
+_FUSED_OUT = " SELECT query_id, id, round(score, 6) AS score, round(rrf_score, 6) AS rrf_score, position FROM fused"
+
+
+@query(_HYBRID + sql.fused("1.0", "1.0") + _FUSED_OUT)
+def rrf_unweighted(spark, sf_dir):
+    return _fused_columns(_fused(spark, sf_dir))
+
+
+def _weights(spark, sf_dir, take: int | None = None):
+    found = F.col("tokens") if take is None else F.slice("tokens", 1, take)
+    w_dense, w_sparse = scoring.hybrid_weights(found)
+    return item_queries(spark, sf_dir).select("query_id", w_dense.alias("w_dense"), w_sparse.alias("w_sparse"))
+
+
+@query(_HYBRID + sql.fused("1.0", "1.0") + _FUSED_OUT)
+def hybrid_rrf(spark, sf_dir):
+    return _fused_columns(_fused(spark, sf_dir, _weights(spark, sf_dir)))
+
+
+@query(_HYBRID + sql.fused("0.8", "1.2") + _FUSED_OUT)
+def hybrid_rrf_short_query(spark, sf_dir):
+    return _fused_columns(_fused(spark, sf_dir, _weights(spark, sf_dir, 3)))
+
+
+@query(
+    _HYBRID + sql.fused("1.0", "1.0") + """, hits AS (SELECT query_id, id, score, position, CASE WHEN id % 5 <> 0 THEN 'p' || (id % 7) END AS parent_id, text FROM fused JOIN documents ON doc_id = id WHERE position <= 20),
+    k AS (SELECT *, row_number() OVER (PARTITION BY query_id, coalesce(parent_id, '#' || id) ORDER BY position) AS nth FROM hits)
+    SELECT query_id, CAST(id AS VARCHAR) AS id, round(score, 6) AS score, position, parent_id, md5(CASE WHEN parent_id IS NULL THEN text ELSE 'parent of ' || parent_id END) AS text_md5 FROM k WHERE nth = 1"""
+)
+def search_documents(spark, sf_dir):
+    parent = F.when(F.col("doc_id") % 5 != 0, F.concat(F.lit("p"), (F.col("doc_id") % 7).cast("string")))
+    d = docs(spark, sf_dir).select(F.col("doc_id").alias("id"), "text", parent.alias("parent_id"), F.concat(F.lit("parent of "), parent).alias("parent_text"))
+    hits = _fused(spark, sf_dir, _weights(spark, sf_dir)).filter("position <= 20").join(d, "id")
+    out = search.dedup_parents(hits, 20)
+    return out.select("query_id", F.col("id").cast("string").alias("id"), W6(F.col("score")).alias("score"), F.col("position").cast("long").alias("position"), "parent_id", F.md5("text").alias("text_md5"))
+
+
+@query(
+    _HYBRID + sql.fused("1.0", "1.0") + """, r AS (SELECT doc_id AS id, 'SF-' || doc_id AS index, 'doc_' || doc_id AS filename FROM documents)
+    SELECT query_id, fused.id, index, filename, round(score, 6) AS score, round(rrf_score, 6) AS rrf_score FROM fused JOIN r USING (id) WHERE position <= 5"""
+)
+def search_sendables(spark, sf_dir):
+    d = docs(spark, sf_dir).select(F.col("doc_id").alias("id"), F.concat(F.lit("SF-"), F.col("doc_id").cast("string")).alias("index"), F.concat(F.lit("doc_"), F.col("doc_id").cast("string")).alias("filename"))
+    return _fused(spark, sf_dir).filter("position <= 5").join(d, "id").select("query_id", "id", "index", "filename", W6(F.col("score")).alias("score"), W6(F.col("rrf_score")).alias("rrf_score"))
+
+
+@query(f"WITH {RECORDS} SELECT id, index, filename, url FROM r WHERE index = 'SF-42'")
+def sendable_by_index(spark, sf_dir):
+    return records(spark, sf_dir).filter(F.col("index") == "SF-42").select("id", "index", "filename", "url")
+
+
+@query(f"WITH {RECORDS} SELECT 'SF-' || (coalesce(max(TRY_CAST(string_split(index, '-')[2] AS INT)), 0) + 1) AS next_index FROM r WHERE starts_with(index, 'SF-')")
+def next_sendable_index(spark, sf_dir):
+    return collections.next_index(records(spark, sf_dir))
+
+
+@query(f"WITH {RECORDS} SELECT id, index, filename, url, length(text) AS n_chars FROM r WHERE filename <> ''")
+def list_sendables(spark, sf_dir):
+    return records(spark, sf_dir).filter("filename <> ''").select("id", "index", "filename", "url", F.length("text").cast("long").alias("n_chars"))
+
+
+@query(f"WITH {RECORDS} SELECT filename, arg_min(coalesce(title, chr(0)), id) AS t0, nullif(t0, chr(0)) AS title, arg_min(url, id) AS url FROM r GROUP BY filename".replace("arg_min(coalesce(title, chr(0)), id) AS t0, nullif(t0, chr(0)) AS title", "nullif(arg_min(coalesce(title, chr(1)), id), chr(1)) AS title"))
+def document_list(spark, sf_dir):
+    return views.document_list(records(spark, sf_dir))
+
+
+@query(
+    f"""WITH {RECORDS}, f AS (SELECT filename, nullif(arg_min(coalesce(title, chr(1)), id), chr(1)) AS title, arg_min(url, id) AS url, arg_min(page_numbers IS NOT NULL, id) AS paged FROM r GROUP BY filename),
+    o AS (SELECT r.*, f.paged, CASE WHEN f.paged THEN coalesce(list_min(page_numbers), 2147483647) ELSE 0 END AS page FROM r JOIN f ON f.filename = r.filename),
+    c AS (SELECT filename, string_agg(text, ' ' ORDER BY page, id) AS content FROM o GROUP BY filename),
+    t AS (SELECT filename, list(title ORDER BY page, id) AS titles FROM (SELECT filename, title, page, id, row_number() OVER (PARTITION BY filename, title ORDER BY page, id) AS nth FROM o WHERE title <> '') WHERE nth = 1 GROUP BY filename)
+    SELECT f.filename, f.title, f.url, coalesce(array_to_string(t.titles, '|'), '') AS section_titles, md5(content) AS content_md5, CAST(length(content) AS BIGINT) AS n_chars FROM f JOIN c ON c.filename = f.filename LEFT JOIN t ON t.filename = f.filename"""
+)
+def document_content(spark, sf_dir):
+    out = views.document_content(records(spark, sf_dir))
+    return out.select("filename", "title", "url", F.array_join("section_titles", "|").alias("section_titles"), F.md5("content").alias("content_md5"), F.length("content").cast("long").alias("n_chars"))
+
+
+@query(f"WITH {sql.FILES}, {sql.LINES} SELECT file, section_idx, title, CAST(level AS BIGINT) AS level FROM secs")
+def sections(spark, sf_dir):
+    return markdown.sections(files(spark, sf_dir)).select("file", F.col("section_idx").cast("long").alias("section_idx"), "title", F.col("level").cast("long").alias("level"))
+
+
+@query(f"WITH {sql.FILES}, {sql.LINES} SELECT file, section_idx, para_idx, md5(text) AS text_md5 FROM paras")
+def paragraphs(spark, sf_dir):
+    return markdown.paragraphs(files(spark, sf_dir)).select("file", F.col("section_idx").cast("long").alias("section_idx"), F.col("para_idx").cast("long").alias("para_idx"), F.md5("text").alias("text_md5"))
+
+
+@query()
+def semantic_chunks(spark, sf_dir):
+    out = chunking.semantic_chunks(files(spark, sf_dir), 700)
+    return out.select("file", "section_idx", "chunk_idx", "section_title", "parent_id", "text")
+
+
+@query(
+    f"""WITH {sql.FILES}, {sql.LINES} SELECT pt.file, pt.section_idx, s.title, substr(md5(coalesce(s.title, '') || ':' || parent_text), 1, 16) AS parent_id, CAST(greatest(1, length(parent_text) // 4) AS INT) AS n_tokens
+    FROM pt JOIN secs s ON s.file = pt.file AND s.section_idx = pt.section_idx"""
+)
+def parent_chunks(spark, sf_dir):
+    p = markdown.parents(files(spark, sf_dir))
+    return p.select("file", F.col("section_idx").cast("long").alias("section_idx"), "title", ids.parent_id(F.col("title"), F.col("parent_text")).alias("parent_id"), text.token_count(F.col("parent_text")).alias("n_tokens"))
+
+
+@query()
+def natural_chunks(spark, sf_dir):
+    return chunking.natural_chunks(markdown.paragraphs(files(spark, sf_dir)))
+
+
+@query()
+def safe_windows(spark, sf_dir):
+    @F.pandas_udf("array<string>")
+    def cut(x: pd.Series) -> pd.Series:
+        return x.map(chunking.paragraph_windows)
+
+    return files(spark, sf_dir).select("file", F.posexplode(cut("md")).alias("window", "text"))
+
+
+@query(
+    "WITH f AS (SELECT doc_id AS file, CAST(n_chars AS INT) AS n FROM documents WHERE n_chars >= 5), k AS (SELECT file, n, unnest(range(0, greatest(0, CAST(ceil((n - 500) / 490.0) AS INT)) + 1)) AS i FROM f) "
+    "SELECT file, CAST(i * 490 AS BIGINT) AS start, CAST(least(i * 490 + 500, n) AS BIGINT) AS \"end\" FROM k"
+)
+def llm_windows(spark, sf_dir):
+    f = docs(spark, sf_dir).select(F.col("doc_id").alias("file"), F.col("n_chars").cast("int").alias("n_lines"))
+    return chunking.line_windows(f).select("file", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"))
+
+
+@query(
+    r"""SELECT doc_id, CAST(len(s) AS BIGINT) AS n_sentences, md5(array_to_string(s, '|')) AS digest FROM (SELECT doc_id, list_filter(list_transform(
+    string_split(regexp_replace(text, '([.!?])\s+([A-ZА-ЯЁ0-9(])', '\1' || chr(1) || '\2', 'g'), chr(1)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS s FROM documents)"""
+)
+def sentences(spark, sf_dir):
+    s = text.sentences(F.col("text"))
+    return docs(spark, sf_dir).select("doc_id", F.size(s).cast("long").alias("n_sentences"), F.md5(F.array_join(s, "|")).alias("digest"))
+
+
+@query("SELECT doc_id, CAST(greatest(1, length(text) // 4) AS INT) AS n_tokens FROM documents")
+def token_counts(spark, sf_dir):
+    return docs(spark, sf_dir).select("doc_id", text.token_count(F.col("text")).alias("n_tokens"))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN NULL ELSE CAST(doc_id % 50 AS INT) END AS first_page, CASE WHEN doc_id % 3 = 0 THEN NULL ELSE CAST(least(doc_id % 50, 9) AS INT) END AS least_page FROM documents")
+def page_numbers_parse(spark, sf_dir):
+    raw = F.when(F.col("doc_id") % 3 == 0, F.lit("not json")).otherwise(F.format_string("[%d, 9]", F.col("doc_id") % 50))
+    pages = text.page_numbers(raw)
+    return docs(spark, sf_dir).select("doc_id", F.try_element_at(pages, F.lit(1)).alias("first_page"), F.array_min(pages).alias("least_page"))
+
+
+@query("SELECT page_id, url_decode(url) AS name FROM pages")
+def decode_filename(spark, sf_dir):
+    return readers.table(spark, sf_dir, "pages").select("page_id", text.decoded_filename("url").alias("name"))
+
+
+@query(f"WITH {RECORDS} SELECT collection, filename, id FROM r WHERE (collection, filename) NOT IN (SELECT (collection, filename) FROM r WHERE id % 2 = 0)")
+def dedup_guard(spark, sf_dir):
+    r = records(spark, sf_dir)
+    return collections.guarded(r, r.filter("id % 2 = 0")).select("collection", "filename", "id")
+
+
+@query(f"WITH {RECORDS} SELECT collection, id, CASE WHEN id % 10 = 0 THEN 'new ' || id ELSE text END AS text FROM r UNION ALL SELECT 'docling_new', -1, 'added'")
+def upsert_points(spark, sf_dir):
+    r = records(spark, sf_dir).select("collection", "id", "text")
+    new = r.filter("id % 10 = 0").withColumn("text", F.concat(F.lit("new "), F.col("id").cast("string")))
+    more = spark.range(1).select(F.lit("docling_new").alias("collection"), F.lit(-1).cast("long").alias("id"), F.lit("added").alias("text"))
+    return collections.upsert(r, new.unionByName(more))
+
+
+@query(f"WITH {RECORDS} SELECT collection, id, filename FROM r WHERE filename <> 'doc_7'")
+def delete_by_filename(spark, sf_dir):
+    kept, _ = collections.delete(records(spark, sf_dir), F.col("filename") == "doc_7")
+    return kept.select("collection", "id", "filename")
+
+
+@query(f"WITH {RECORDS} SELECT count(*) AS deleted FROM r WHERE filename = 'doc_7'")
+def delete_count(spark, sf_dir):
+    return collections.delete(records(spark, sf_dir), F.col("filename") == "doc_7")[1]
+
+
+@query(f"WITH {sql.POINTS.replace('FROM documents', 'FROM documents WHERE doc_id % 4 <> 0')} SELECT collection, term, df FROM terms")
+def stats_after_delete(spark, sf_dir):
+    p = points(spark, sf_dir)
+    return stats.net_terms(stats.term_deltas(p).unionByName(stats.term_deltas(p.filter("point_id % 4 = 0"), -1)))
+
+
+@query(f"WITH {sql.POINTS.replace('FROM documents', 'FROM documents WHERE doc_id % 4 <> 0')} SELECT c.collection, greatest(coalesce(n, 0), 1) AS n, greatest(coalesce(total_dl, 0), 0) AS total_dl FROM (SELECT DISTINCT 'docling_' || source AS collection FROM documents) c LEFT JOIN stats ON stats.collection = c.collection")
+def corpus_stats_after_delete(spark, sf_dir):
+    p = points(spark, sf_dir)
+    return stats.net_corpus(stats.corpus_deltas(p).unionByName(stats.corpus_deltas(p.filter("point_id % 4 = 0"), -1)))
+
+
+def _split_points(spark, sf_dir):
+    d = docs(spark, sf_dir)
+    return d.select(F.floor(F.col("doc_id") / 10).alias("file"), (F.col("doc_id") % 10 * F.col("doc_id") % 23 + 1).cast("int").alias("line"), F.lit(0.9).alias("confidence"), F.concat(F.lit("T"), F.col("doc_id").cast("string")).alias("title"))
+
+
+@query()
+def split_point_dedup(spark, sf_dir):
+    return enrich.dedup_points(_split_points(spark, sf_dir))
+
+
+@query(
+    """WITH p AS (SELECT doc_id, string_split(text, chr(10)) AS a FROM documents), l AS (SELECT doc_id, unnest(range(0, len(a))) AS pos, unnest(a) AS line FROM p)
+    SELECT doc_id AS file, md5(string_agg(CASE WHEN pos = 0 THEN chr(10) || '## T' || doc_id || chr(10) || chr(10) || line ELSE line END, chr(10) ORDER BY pos)) AS md FROM l GROUP BY doc_id"""
+)
+def stitch_headers(spark, sf_dir):
+    d = docs(spark, sf_dir)
+    p = d.select(F.col("doc_id").alias("file"), F.lit(1).alias("line"), F.lit(0.9).alias("confidence"), F.concat(F.lit("T"), F.col("doc_id").cast("string")).alias("title"))
+    return enrich.stitch(d.select(F.col("doc_id").alias("file"), F.col("text").alias("md")), p).select("file", F.md5("md").alias("md"))
+
+
+@query()
+def fuzzy_line_match(spark, sf_dir):
+    d = docs(spark, sf_dir)
+    s = d.select(F.col("doc_id").alias("file"), F.lit(0).alias("snippet_id"), F.lit(0).alias("start"), F.reverse(F.split("text", "\n")).getItem(0).alias("snippet"))
+    return enrich.match_lines(d.select(F.col("doc_id").alias("file"), F.col("text").alias("md")), s)
+
+
+@query(
+    f"""WITH {sql.DENSE}, h AS (SELECT query_id, id, score, rank AS position FROM dense), w AS (SELECT h.*, CASE WHEN position % 2 = 1 THEN 1.0 / (30 - position) END AS rel FROM h),
+    o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rel DESC, position) AS place FROM w WHERE rel IS NOT NULL)
+    SELECT query_id, id, round(rel, 6) AS score, round(rel, 6) AS rerank_score, round(score, 6) AS vector_score, place FROM o WHERE place <= 5"""
+)
+def rerank_apply(spark, sf_dir):
+    hits = dense(spark, sf_dir).withColumnRenamed("rank", "position")
+    given = hits.filter("position % 2 = 1").select("query_id", (F.col("position") - 1).alias("index"), (F.lit(1.0) / (30 - F.col("position"))).alias("relevance"), F.lit("fixed").alias("reason"))
+    beyond = hits.select("query_id", F.lit(99).alias("index"), F.lit(2.0).alias("relevance"), F.lit("beyond").alias("reason")).distinct()
+    out = search.apply_rankings(hits, given.unionByName(beyond), 5)
+    return out.select("query_id", "id", W6(F.col("score")).alias("score"), W6(F.col("rerank_score")).alias("rerank_score"), W6(F.col("vector_score")).alias("vector_score"), F.col("place").cast("long").alias("place"))
+
+
+def _vectors(spark, sf_dir):
+    kind = F.when(F.col("label") % 3 == 0, "docling_").when(F.col("label") % 3 == 1, "sendable_files_").otherwise("other_")
+    e = readers.table(spark, sf_dir, "embeddings")
+    return e.select(F.concat(kind, F.col("label").cast("string")).alias("collection"), F.col("vec_id").alias("id"), F.when(F.col("label") % 2 == 0, F.col("embedding")).alias("dense"))
+
+
+@query(
+    """WITH v AS (SELECT CASE label % 3 WHEN 0 THEN 'docling_' WHEN 1 THEN 'sendable_files_' ELSE 'other_' END || label AS collection, CASE WHEN label % 2 = 0 THEN len(embedding) END AS d FROM embeddings)
+    SELECT collection, count(*) AS points, CAST(max(d) AS INT) AS dims, CASE WHEN max(d) IS NULL THEN 'unknown' WHEN max(d) = 64 THEN 'ok' ELSE 'mismatch' END AS status FROM v WHERE NOT starts_with(collection, 'other_') GROUP BY collection"""
+)
+def collection_check(spark, sf_dir):
+    return collections.check(_vectors(spark, sf_dir), 64)
+
+
+@query("SELECT CASE label % 3 WHEN 0 THEN 'docling_' WHEN 1 THEN 'sendable_files_' ELSE 'other_' END || label AS collection, vec_id AS id FROM embeddings")
+def reindex_backup(spark, sf_dir):
+    return collections.backup(_vectors(spark, sf_dir))
+
+
+@query("SELECT page_id, unnest([url || '#a', url || '#b']) AS url FROM (SELECT page_id, 'http://x/' || page_id AS url FROM pages) WHERE page_id % 5 <> 0 UNION ALL SELECT page_id, 'http://x/' || page_id FROM pages WHERE page_id % 5 = 0")
+def sitemap_urls(spark, sf_dir):
+    base = F.concat(F.lit("http://x/"), F.col("page_id").cast("string"))
+    xml = F.concat(F.lit('<urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9"><url><loc>'), base, F.lit("#a</loc></url><url><loc>"), base, F.lit("#b</loc></url></urlset>"))
+    maps = readers.table(spark, sf_dir, "pages").select("page_id", F.concat(base, F.lit("/")).alias("base"), F.when(F.col("page_id") % 5 != 0, xml).alias("xml"))
+    keyed = readers.sitemap_urls(maps)
+    return keyed.select(F.regexp_extract("base", r"/(\d+)/$", 1).cast("long").alias("page_id"), "url")
+
+
+@query()
+def html_markdown(spark, sf_dir):
+    return readers.table(spark, sf_dir, "pages").select("page_id", markdown.html_to_markdown(F.col("html")).alias("md"))
+
+
+@query("SELECT conv_id, turn, lower(trim(role)) IN ('1', 'true', 'yes', 'y', 'on', 'user') AND role <> 'user' AS flag, greatest(1, length(text) // 4) <= 20 AS short FROM conversations")
+def bool_settings(spark, sf_dir):
+    c = readers.table(spark, sf_dir, "conversations")
+    return c.select("conv_id", "turn", text.truthy(F.col("role"), False).alias("flag"), (text.token_count(F.col("text")) <= 20).alias("short"))
+
+
+@query("SELECT conv_id, turn, 'event: ' || role || chr(10) || 'data: {\"turn\":' || turn || '}' || chr(10) || chr(10) AS frame FROM conversations")
+def progress_frames(spark, sf_dir):
+    c = readers.table(spark, sf_dir, "conversations")
+    return c.select("conv_id", "turn", text.event_frame(F.col("role"), F.struct("turn")).alias("frame"))
+
+
+@query("SELECT doc_id, md5(CASE WHEN doc_id % 2 = 0 THEN 'Title: ' || lang || chr(10) || chr(10) || text ELSE text END) AS dense, md5(CASE WHEN doc_id % 2 = 0 THEN lang || '. ' || text ELSE text END) AS sparse FROM documents")
+def model_inputs(spark, sf_dir):
+    title = F.when(F.col("doc_id") % 2 == 0, F.col("lang"))
+    return docs(spark, sf_dir).select("doc_id", F.md5(text.dense_input(title, F.col("text"))).alias("dense"), F.md5(text.sparse_input(title, F.col("text"))).alias("sparse"))
+
+
+@query(f"WITH {sql.POINTS} SELECT collection, greatest(n, 1) AS n, total_dl FROM stats")
+def stream_stats_equals_batch(spark, sf_dir):
+    from quern.streaming import ingest
+    from quern.streaming.folders import scratch
+
+    folder = scratch(spark)
+    schema = docs(spark, sf_dir).schema
+    ingest.ingest(spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(sf_dir), f"{folder}/deltas", f"{folder}/checkpoint").awaitTermination()
+    return ingest.net(spark, f"{folder}/deltas")[0]
