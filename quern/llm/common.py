@@ -7,6 +7,7 @@ operators' own formats go there too, each under a name no other attempt uses.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import os
 import tempfile
@@ -55,6 +56,12 @@ def release(*tables: DataFrame) -> None:
             target.getFileSystem(conf).delete(target, True)
 
 
+def reclaim(spark: SparkSession) -> None:
+    """Lets Spark drop the shuffle files of plans that nothing refers to any more, which it does on collection only."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def without(docs: DataFrame, dropped: DataFrame, on: list[str], limit: int = 200_000) -> DataFrame:
     """``docs`` without the rows whose keys are in ``dropped``.
 

@@ -26,10 +26,10 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import WordHashes, materialize, mix, new_path, read_range, shuffle_parts, text_bytes, write_file
+from quern.llm.common import WordHashes, materialize, mix, new_path, read_range, reclaim, shuffle_parts, text_bytes, write_file
 
 #: Counts above this are not discounted; tokens in a block.
-MOST, BLOCK_TOKENS = 5, 3_000_000
+MOST, BLOCK_TOKENS = 5, 6_000_000
 #: The end of a text, counted as a token, and the place before its first; no word has these hashes.
 END, START = 1, 0
 _LOW48 = np.uint64((1 << 48) - 1)
@@ -43,6 +43,15 @@ def unpacked(data: bytes, kind: str) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), kind)
 
 
+def planes(x: np.ndarray) -> np.ndarray:
+    """Unsigned 32-bit numbers by byte: all first bytes, then all second ones, and so on."""
+    return np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T)
+
+
+def unplaned(data: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(data.reshape(4, -1).T).view("<u4").ravel()
+
+
 def training(doc_id: str = "doc_id"):
     """Rows learned from: crc32 of the doc_id as text, modulo 5, is not 1. A null doc_id is one of them."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 != 1, F.lit(True))
@@ -99,14 +108,18 @@ def _blocks(docs: DataFrame) -> DataFrame:
 
         def flush() -> pa.RecordBatch:
             flat = np.concatenate(parts)
-            words, tokens = np.unique(flat, return_inverse=True)
+            words, tokens, n = np.unique(flat, return_inverse=True, return_counts=True)
+            order = np.argsort(-n, kind="stable")  # frequent words get small numbers, which pack well
+            place = np.empty(len(order), np.uint32)
+            place[order] = np.arange(len(order), dtype=np.uint32)
+            words, tokens = words[order], place[tokens]
             columns = [
                 packed(np.array([x or 0 for x in docs], np.int64)),
                 packed(np.array([x is None for x in docs], np.uint8)),
                 packed(np.array(train, np.uint8)),
                 packed(np.array([len(x) for x in parts], np.uint32)),
                 packed(words),
-                packed(tokens.astype(np.uint32)),
+                packed(planes(tokens)),
             ]
             return pa.RecordBatch.from_arrays([pa.array([task << 20 | number]), *(pa.array([c], pa.binary()) for c in columns)], names)
 
@@ -131,7 +144,7 @@ class _Block:
     """A row of the blocks' table, with its distinct bigrams."""
 
     def __init__(self, row: dict):
-        self.id, self.words, self.tokens = row["block"], unpacked(row["words"], "<u8"), unpacked(row["tokens"], "<u4").astype(np.int64)
+        self.id, self.words, self.tokens = row["block"], unpacked(row["words"], "<u8"), unplaned(unpacked(row["tokens"], "u1")).astype(np.int64)
         self.sizes, self.train = unpacked(row["sizes"], "<u4").astype(np.int64), unpacked(row["train"], "u1").astype(bool)
         self.docs = [None if n else d for d, n in zip(unpacked(row["docs"], "<i8").tolist(), unpacked(row["nulls"], "u1").tolist(), strict=True)]
         self.learned = np.repeat(self.train, self.sizes)
@@ -278,8 +291,8 @@ def _ask_bigrams(blocks: DataFrame, words: Words, parts: int) -> DataFrame:
                                     "histories": packed(names[h[k][heads]]),
                                     "followers": packed(np.diff(np.append(heads, len(k))).astype(np.uint32)),
                                     "words": np.ascontiguousarray(low).tobytes(),
-                                    "counts": packed(n[k]),
-                                    "alone": packed(c[w[k]].astype(np.uint32)),
+                                    "counts": packed(planes(n[k])),
+                                    "alone": packed(planes(np.where(n[k] > 0, c[w[k]], 0))),
                                 }
                             ]
                         )
@@ -301,8 +314,8 @@ def _answer_bigrams(asked: DataFrame, words: Words, folder: str) -> DataFrame:
             hs.append(np.repeat(h, f))
             heads.append(h)
             ws.append(wide.view("<u8").ravel())
-            ns.append(unpacked(r["counts"], "<u4"))
-            cs.append(unpacked(r["alone"], "<u4"))
+            ns.append(unplaned(unpacked(r["counts"], "u1")))
+            cs.append(unplaned(unpacked(r["alone"], "u1")))
             sizes.append(len(raw))
         known, hi = np.unique(np.concatenate(hs), return_inverse=True)
         word, n, alone = np.concatenate(ws), np.concatenate(ns).astype(np.int64), np.concatenate(cs).astype(np.int64)
@@ -311,7 +324,7 @@ def _answer_bigrams(asked: DataFrame, words: Words, folder: str) -> DataFrame:
         entry = np.empty(len(order), np.int64)
         entry[order] = np.cumsum(first) - 1
         count = np.bincount(entry, n, int(first.sum())).astype(np.int64)
-        eh, ew, ec = hi[order][first], word[order][first], alone[order][first]
+        eh, ew, ec = hi[order][first], word[order][first], np.maximum.reduceat(alone[order], np.flatnonzero(first))
         seen = count > 0
         total = np.bincount(eh[seen], count[seen], len(known)).astype(np.int64)
         mass = np.bincount(eh[seen], words.p(ec[seen]), len(known))
@@ -320,7 +333,11 @@ def _answer_bigrams(asked: DataFrame, words: Words, folder: str) -> DataFrame:
         out, begin = [], 0
         for r, size, h in zip(rows, sizes, heads, strict=True):
             k = np.searchsorted(known, h)
-            made = [packed(count[entry[begin : begin + size]].astype(np.uint32)), packed(total[k].astype(np.uint64)), packed(mass[k]), packed(by_count[:, k].astype(np.uint32))]
+            mine = count[entry[begin : begin + size]]
+            # Only a history that a word not seen after it follows here needs the seen words' mass.
+            heads_at = np.concatenate([[0], np.flatnonzero(np.diff(hi[begin : begin + size])) + 1])
+            short = np.minimum.reduceat(mine, heads_at) == 0
+            made = [packed(planes(mine)), packed(total[k].astype(np.uint64).view(np.uint8).reshape(-1, 8).T), packed(np.where(short, mass[k], 0.0)), packed(planes(by_count[:, k].ravel()))]
             out.append({"block": r["block"], "p": p, "answer": b"".join(len(x).to_bytes(8, "little") + x for x in made), "sums": None, "path": None})
             begin += size
         out.append({"block": -1, "p": p, "answer": None, "sums": _of_counts(count), "path": path})
@@ -366,9 +383,9 @@ def _scores(blocks: DataFrame, words: Words, d2: np.ndarray, parts: int) -> Data
                 p = np.zeros(len(h))
                 for q, data in _read(row["bigrams_path"]).items():
                     k = order[ends[q] : ends[q + 1]]
-                    n, total, mass, by_count = (unpacked(x, t) for x, t in zip(_unframed(data), ("<u4", "<u8", "<f8", "<u4"), strict=True))
-                    total = total.astype(np.float64)
-                    scale, weight = backoff(total, by_count.reshape(MOST, -1).astype(np.float64), mass, d2)
+                    n, total, mass, by_count = (unpacked(x, t) for x, t in zip(_unframed(data), ("u1", "u1", "<f8", "u1"), strict=True))
+                    n, total = unplaned(n), np.ascontiguousarray(total.reshape(8, -1).T).view("<u8").ravel().astype(np.float64)
+                    scale, weight = backoff(total, unplaned(by_count).reshape(MOST, -1).astype(np.float64), mass, d2)
                     of = np.cumsum(np.concatenate([[True], h[k][1:] != h[k][:-1]])) - 1
                     n = n.astype(np.int64)
                     direct = scale[of] * d2[np.minimum(n, MOST + 1)] * n / np.maximum(total[of], 1)
@@ -416,6 +433,7 @@ def score_corpus(docs: DataFrame, parts: int | None = None) -> tuple[DataFrame,
     blocks = _blocks(docs)
     word_answers = _filed(_answer_words(_ask_words(blocks, parts), word_folder), f"{answers}/words")
     tokens, distinct, *of_counts = _sums(word_answers, MOST + 3)
+    reclaim(spark)
     words = Words(tokens, distinct, np.array(of_counts))
     path = lambda filed, name: filed.filter("block >= 0").select("block", F.col("path").alias(name))
     blocks_words = blocks.join(_paths(path(word_answers, "words_path")), "block")
