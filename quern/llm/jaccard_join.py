@@ -11,7 +11,8 @@ that isn't empty, and empty segments need no entry; a document with more of them
 Segments of a block of documents are sent as packed arrays. Documents with equal sets are one class
 and enter once per block. Where few documents share a segment, all their pairs are candidates; where
 many do, each pairs with the first of them, and after the links found are merged, what is still
-apart in such a group is compared in blocks by a 1024-bit sketch. No group's pairs are written out,
+apart in such a group is compared in blocks by a 1024-bit sketch, and what that allows by one with
+two bits a shingle. No group's pairs are written out,
 and no link between components is lost. Candidates that sizes and sketches allow are verified on the
 shingles of their texts, the pairs that join most first.
 """
@@ -29,8 +30,8 @@ from pyspark.sql import functions as F
 from quern.llm.common import WordHashes, materialize, mix, release, shuffle_parts, text_bytes
 from quern.llm.components import components
 
-#: Words in a shingle, the least similarity in percent, and bits of the sketch that is compared whole.
-WORDS, PERCENT, BITS = 5, 80, 1024
+#: Words in a shingle, the least similarity in percent, and bits of the smallest and the largest sketch compared whole.
+WORDS, PERCENT, BITS, MOST_BITS = 5, 80, 1024, 1 << 16
 #: Up to so many documents that share a segment are paired with each other; entries packed at once.
 FEW, BLOCK_ENTRIES, BLOCK_COMPARED = 8, 3_000_000, 2048
 
@@ -82,11 +83,29 @@ def segment_keys(h: np.ndarray, number: int, high: int) -> np.ndarray:
 
 
 def sketch(h: np.ndarray) -> bytes:
-    flips = np.bincount((mix(h ^ np.uint64(0x5BD1E995)) % np.uint64(BITS)).astype(np.int64), minlength=BITS) & 1
+    """The parities of BITS to MOST_BITS bits, twice as many as shingles or more if that allows it."""
+    bits = min(MOST_BITS, max(BITS, 1 << (2 * len(h) - 1).bit_length()))
+    flips = np.bincount((mix(h ^ np.uint64(0x5BD1E995)) % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
     return np.packbits(flips.astype(np.uint8)).tobytes()
 
 
-_SKETCHES = "p int, node long, doc_id long, n long, set_id binary, sketch binary, emits boolean, keys binary, refs binary"
+def folded(rows: np.ndarray, size: int) -> np.ndarray:
+    """Sketches (rows of bytes) as sketches of ``size`` bytes: the parities of bits that fall together."""
+    return np.bitwise_xor.reduce(rows.reshape(len(rows), -1, size), axis=1)
+
+
+def distances(a: list[bytes], b: list[bytes]) -> np.ndarray:
+    """Hamming distances of pairs of sketches, at the size of the smaller one."""
+    out = np.zeros(len(a), np.int64)
+    sizes = np.array([(len(x), len(y)) for x, y in zip(a, b, strict=True)], np.int64).reshape(-1, 2)
+    for m, n in np.unique(sizes, axis=0).tolist():
+        at = np.flatnonzero((sizes[:, 0] == m) & (sizes[:, 1] == n))
+        x, y = (np.frombuffer(b"".join([s[i] for i in at]), np.uint8).reshape(len(at), -1) for s in (a, b))
+        out[at] = np.bitwise_count(folded(x, min(m, n)) ^ folded(y, min(m, n))).sum(axis=1, dtype=np.int64)
+    return out
+
+
+_SKETCHES = "p int, node long, doc_id long, n long, set_id binary, sketch binary, small binary, emits boolean, keys binary, refs binary"
 
 
 def _sketches(docs: DataFrame, parts: int) -> DataFrame:
@@ -120,11 +139,11 @@ def _sketches(docs: DataFrame, parts: int) -> DataFrame:
             begin = 0
             for p, end in enumerate(ends.tolist()):
                 if end > begin:
-                    row = [p, base, None, None, None, None, None, low[begin:end].tobytes(), idx[begin:end].tobytes()]
+                    row = [p, base, None, None, None, None, None, None, low[begin:end].tobytes(), idx[begin:end].tobytes()]
                     yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, kinds, strict=True)], names)
                 begin = end
 
-        kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.bool_(), pa.binary(), pa.binary()]
+        kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.bool_(), pa.binary(), pa.binary()]
         for batch in batches:
             for i in range(0, len(batch), 1000):
                 part = batch.slice(i, 1000)
@@ -132,7 +151,7 @@ def _sketches(docs: DataFrame, parts: int) -> DataFrame:
                 for doc, text in zip(part.column("doc_id").to_pylist(), text_bytes(part.column("text")), strict=True):
                     h = shingles(text, hashes)
                     if doc is None or not len(h):
-                        rows.append((None, 0, doc, len(h), None, None, False, None, None))
+                        rows.append((None, 0, doc, len(h), None, None, None, False, None, None))
                         continue
                     if size >= BLOCK_ENTRIES or count >= 1 << 20:
                         yield from flush()
@@ -147,7 +166,9 @@ def _sketches(docs: DataFrame, parts: int) -> DataFrame:
                         keys.append(made)
                         owners.append((node, len(made)))
                         size += len(made)
-                    rows.append((None, node, doc, len(h), set_id, sketch(h) if emits else None, emits, None, None))
+                    whole = sketch(h) if emits else None
+                    small = folded(np.frombuffer(whole, np.uint8)[None], BITS // 8).tobytes() if emits else None
+                    rows.append((None, node, doc, len(h), set_id, whole, small, emits, None, None))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
         yield from flush()
 
@@ -192,10 +213,9 @@ def _shared(entries: DataFrame) -> DataFrame:
     return materialize(entries.groupBy("p").applyInArrow(run, "grp long, a long, b long"), "shared")
 
 
-def _alike(na: np.ndarray, nb: np.ndarray, sa: np.ndarray, sb: np.ndarray) -> np.ndarray:
-    """Whether sizes and sketches allow a link; rows of sketches as 64-bit numbers."""
+def _alike(na: np.ndarray, nb: np.ndarray, apart: np.ndarray) -> np.ndarray:
+    """Whether sizes and a sketch distance allow a link."""
     low, high = np.minimum(na, nb), np.maximum(na, nb)
-    apart = np.bitwise_count(sa ^ sb).sum(axis=-1, dtype=np.int64)
     return (100 * low >= PERCENT * high) & ((100 + PERCENT) * apart <= (100 - PERCENT) * (na + nb))
 
 
@@ -203,22 +223,22 @@ def _numbers(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, BITS // 64)
 
 
-def _allowed(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Pairs of nodes as pairs of classes (a < b) that sizes and sketches allow."""
+def _allowed(pairs: DataFrame, nodes: DataFrame, by: str, sketches: str) -> DataFrame:
+    """Pairs (a, b) of nodes or classes (``by``) as pairs of classes, a < b, that sizes and sketches allow."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in batches:
-            na, nb = t.column("na").to_numpy(), t.column("nb").to_numpy()
-            keep = _alike(na, nb, _numbers(t.column("sa")), _numbers(t.column("sb"))) if len(t) else np.zeros(0, bool)
+            keep = _alike(t.column("na").to_numpy(), t.column("nb").to_numpy(), distances(t.column("sa").to_pylist(), t.column("sb").to_pylist()))
             a, b = t.column("ca").to_numpy()[keep], t.column("cb").to_numpy()[keep]
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
-    side = lambda x: nodes.select(F.col("node").alias(x), F.col("class").alias(f"c{x}"), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
+    known = nodes.withColumn("key", F.col(by)).dropDuplicates(["key"])
+    side = lambda x: known.select(F.col("key").alias(x), F.col("class").alias(f"c{x}"), F.col("n").alias(f"n{x}"), F.col(sketches).alias(f"s{x}"))
     wide = pairs.join(side("a"), "a").join(side("b"), "b").filter("ca <> cb").select("ca", "cb", "na", "nb", "sa", "sb")
     return wide.mapInArrow(run, "a long, b long").distinct()
 
 
-def _verify(pairs: DataFrame, docs: DataFrame, members: int = 2000, broadcast_rows: int = 200_000) -> DataFrame:
+def _verify(pairs: DataFrame, docs: DataFrame, members: int = 200, broadcast_rows: int = 200_000) -> DataFrame:
     """The pairs (a, b) whose texts' shingle sets are similar enough.
 
     The text of b goes to a. An a with many partners is copied, so that each copy meets about ``members``.
@@ -257,8 +277,8 @@ def _across(pairs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def _still_apart(groups: DataFrame, nodes: DataFrame, labels: DataFrame) -> DataFrame:
     """Pairs in different components that share one of the large segments and that sizes and sketches allow."""
-    known = nodes.select(F.col("node").alias("a"), "class", "n", "sketch").join(labels.withColumnRenamed("node", "class"), "class", "left")
-    rows = groups.join(known.select("a", "class", "n", "sketch", F.coalesce("component", "class").alias("component")), "a")
+    known = nodes.select(F.col("node").alias("a"), "class", "n", "small").join(labels.withColumnRenamed("node", "class"), "class", "left")
+    rows = groups.join(known.select("a", "class", "n", "small", F.coalesce("component", "class").alias("component")), "a")
     split = rows.groupBy("grp").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("size")).filter("lo <> hi")
     rows = rows.join(split.select("grp", F.ceil(F.col("size") / BLOCK_COMPARED).cast("int").alias("blocks")), "grp").dropDuplicates(["grp", "class"])
     mine = F.pmod(F.xxhash64("class"), "blocks").cast("int")
@@ -267,17 +287,17 @@ def _still_apart(groups: DataFrame, nodes: DataFrame, labels: DataFrame) -> Data
 
     def run(t: pa.Table) -> pa.Table:
         mine, x, y = (t.column(c).to_numpy() for c in ("mine", "x", "y"))
-        node, n, comp, bits = t.column("class").to_numpy(), t.column("n").to_numpy(), t.column("component").to_numpy(), _numbers(t.column("sketch"))
+        node, n, comp, bits = t.column("class").to_numpy(), t.column("n").to_numpy(), t.column("component").to_numpy(), _numbers(t.column("small"))
         left, right = np.flatnonzero(mine == x), np.flatnonzero(mine == y)
         found = []
         for i in left.tolist():
             j = right[(comp[right] != comp[i]) & ((x[0] != y[0]) | (node[right] > node[i]))]
-            j = j[_alike(np.full(len(j), n[i]), n[j], bits[i], bits[j])]
+            j = j[_alike(np.full(len(j), n[i]), n[j], np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1, dtype=np.int64))]
             found.append(np.stack([np.minimum(node[i], node[j]), np.maximum(node[i], node[j])], 1))
         pair = np.concatenate([np.zeros((0, 2), np.int64), *found])
         return pa.table({"a": pair[:, 0], "b": pair[:, 1]})
 
-    cells = rows.select("grp", "x", "y", "mine", "class", "n", "component", "sketch")
+    cells = rows.select("grp", "x", "y", "mine", "class", "n", "component", "small")
     return cells.groupBy("grp", "x", "y").applyInArrow(run, "a long, b long").distinct()
 
 
@@ -299,9 +319,10 @@ def similar_components(docs: DataFrame, parts: int | None = None) -> DataFrame:
     rows = table.filter("p IS NULL")
     sets = rows.filter("set_id IS NOT NULL")
     classes = materialize(sets.groupBy("set_id").agg(F.min("doc_id").alias("class")), "classes")
-    nodes = materialize(sets.filter("emits").join(classes, "set_id").select("node", "class", "n", "sketch"), "nodes")
+    nodes = materialize(sets.filter("emits").join(classes, "set_id").select("node", "class", "n", "sketch", "small"), "nodes")
     shared = _shared(table.filter("p IS NOT NULL").select("p", "node", "keys", "refs"))
-    left = materialize(_allowed(shared.filter("grp IS NULL").select("a", "b").distinct(), nodes), "candidates")
+    near = _allowed(shared.filter("grp IS NULL").select("a", "b").distinct(), nodes, "node", "small")
+    left = materialize(_allowed(near, nodes, "class", "sketch"), "candidates")
     links = labels = None
     tried = left
     for turn in ("nearest", "rest", "apart"):
@@ -310,7 +331,8 @@ def similar_components(docs: DataFrame, parts: int | None = None) -> DataFrame:
         elif turn == "rest":
             todo = _across(left.join(todo, ["a", "b"], "left_anti"), labels)
         else:
-            todo = _still_apart(shared.filter("grp IS NOT NULL").select("grp", "a"), nodes, labels).join(tried, ["a", "b"], "left_anti")
+            near = _still_apart(shared.filter("grp IS NOT NULL").select("grp", "a"), nodes, labels).join(tried, ["a", "b"], "left_anti")
+            todo = _allowed(near, nodes, "class", "sketch")
         todo = materialize(todo, "todo")
         if turn != "nearest" and not todo.limit(1).count():
             continue
