@@ -10,7 +10,6 @@ from __future__ import annotations
 import os
 import re
 from array import array
-from collections.abc import Iterable
 
 import numpy as np
 
@@ -30,6 +29,21 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
+class NotAlone(Exception):
+    """The piece's ids depend on what stands beside it."""
+
+
+class _Known(dict):
+    """Ids of the pieces met so far."""
+
+    def __init__(self, encoder: "Encoder"):
+        self.encoder = encoder
+
+    def __missing__(self, piece: str) -> bytes:
+        self[piece] = ids = self.encoder.ids_of(piece)
+        return ids
+
+
 class Encoder:
     """Ids of texts as the tokenizer gives them with add_special_tokens=False.
 
@@ -44,10 +58,13 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
         self.kind, self.limit, self.lead = kind, limit, " " if kind == "byte" else ""
-        self.known: dict[str, bytes | None] = {}
+        self.known = _Known(self)
+        self.split: set[str] = set()  # letters that normalising makes more than letters, so no word of its own
         self.letters = _byte_letters()
         # A cut before a space that a non-space follows is always an end of a token.
         self.cut = re.compile(r"(?= [^\s])")
+        # Ids of what often follows a word's letters; a letter before it always ends a token.
+        self.tails = {t: self.plain(t).tobytes() for t in ("", ".", ",", "|", "\n", ".\n", ",\n")}
 
     def plain(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
@@ -61,49 +78,33 @@ class Encoder:
         inner = (self.lead + letters).encode().decode("latin-1").translate(self.letters)
         return array("I", [t.id for t in self.model.tokenize(inner)]).tobytes()
 
-    def learn(self, pieces: Iterable[str]) -> None:
-        """Adds the ids of pieces, each with its leading space; None for one that may not stand alone."""
-        rest, tails = [], self.known_tails()
-        for piece in pieces:
-            core = piece.rstrip(".,|\n")
-            if self.kind == "byte" and (not piece or piece[0].isspace()):
-                self.known[piece] = None
-            elif core.isalpha() and (tail := piece[len(core) :]) in tails and (ids := self.known.get(core) or self.word(core)):
+    def ids_of(self, piece: str) -> bytes:
+        """Ids of a piece with its leading space; NotAlone for one whose ids depend on its neighbours."""
+        core = piece.rstrip(".,|\n")
+        if self.kind == "byte" and (not piece or piece[0].isspace()):
+            raise NotAlone
+        if core.isalpha() and core not in self.split and (tail := piece[len(core) :]) in self.tails:
+            if ids := self.known.get(core) or self.word(core):
                 self.known[core] = ids
-                self.known[piece] = ids + tails[tail]
-            else:
-                rest.append(piece)
-        for x, e in zip(rest, self.tokenizer.encode_batch_fast([self.lead + x for x in rest], add_special_tokens=False), strict=True):
-            self.known[x] = np.array(e.ids, "<u4").tobytes()
-
-    def known_tails(self) -> dict[str, bytes]:
-        """Ids of what often follows a word's letters; a letter before it always ends a token."""
-        if not hasattr(self, "tails"):
-            self.tails = {t: self.plain(t).tobytes() for t in ("", ".", ",", "|", "\n", ".\n", ",\n")}
-        return self.tails
+                return ids + self.tails[tail]
+            self.split.add(core)
+        return self.plain(self.lead + piece).tobytes()
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.known) > self.limit:
             self.known.clear()
-        known = self.known
+        get = self.known.__getitem__
         if self.kind == "word":
-            split = [t.replace("\n", " ").split(" ") for t in texts]
-            self.learn({x for ps in split for x in ps if x not in known})
-            return [np.frombuffer(b"".join(map(known.__getitem__, ps)), "<u4") for ps in split]
-        split = [t.split(" ") for t in texts]
-        self.learn({x for ps in split for x in ps[1:] if x not in known})
+            return [np.frombuffer(b"".join(map(get, t.replace("\n", " ").split(" "))), "<u4") for t in texts]
         out = []
-        for text, ps in zip(texts, split, strict=True):
+        for text in texts:
+            first, *rest = text.split(" ")
             try:
-                body = b"".join(map(known.__getitem__, ps[1:]))
-            except TypeError:  # spaces follow one another: cut only where a token is sure to end
-                first, *ps = self.cut.split(text)
-                ps = [x.removeprefix(" ") for x in ps]
-                self.learn({x for x in ps if x not in known})
-                body = b"".join(map(known.__getitem__, ps))
-            else:
-                first = ps[0]
-            out.append(np.concatenate([self.plain(first), np.frombuffer(body, "<u4")]))
+                body = b"".join(map(get, rest))
+            except NotAlone:  # spaces follow one another: cut only where a token is sure to end
+                first, *rest = self.cut.split(text)
+                body = b"".join([get(x[1:]) for x in rest])
+            out.append(np.frombuffer(self.plain(first).tobytes() + body, "<u4"))
         return out
 
 
