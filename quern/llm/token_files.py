@@ -36,13 +36,23 @@ _HEAD = "<8sIQQ"
 
 def encode_values(values: np.ndarray) -> tuple[bytes, bytes]:
     """Control bytes and data bytes of unsigned 32-bit numbers."""
+    return encode_many(values, np.array([len(values)]))[0]
+
+
+def encode_many(values: np.ndarray, counts: np.ndarray) -> list[tuple[bytes, bytes]]:
+    """Control and data bytes of each document; ``values`` has all documents' numbers one after another."""
     v = np.ascontiguousarray(values, "<u4")
-    code = (v > 0xFF).astype(np.uint8) + (v > 0xFFFF) + (v > 0xFFFFFF)
-    pad = -len(v) % 4
-    quad = np.concatenate([code, np.zeros(pad, np.uint8)]).reshape(-1, 4)
-    control = quad[:, 0] | quad[:, 1] << 2 | quad[:, 2] << 4 | quad[:, 3] << 6
-    data = v.view(np.uint8).reshape(-1, 4)[np.arange(4) <= code[:, None]]
-    return control.astype(np.uint8).tobytes(), data.tobytes()
+    code = (v > 0xFF).view(np.uint8) + (v > 0xFFFF) + (v > 0xFFFFFF)
+    ends, quads = np.cumsum(counts), -(-counts // 4)
+    quad_ends = np.cumsum(quads)
+    slots = np.zeros(int(quads.sum()) * 4, np.uint8)
+    slots[np.arange(len(v)) + np.repeat((quad_ends - quads) * 4 - (ends - counts), counts)] = code
+    quad = slots.reshape(-1, 4)
+    control = (quad[:, 0] | quad[:, 1] << 2 | quad[:, 2] << 4 | quad[:, 3] << 6).tobytes()
+    data = v.view(np.uint8).reshape(-1, 4)[np.arange(4, dtype=np.uint8) <= code[:, None]].tobytes()
+    data_ends = np.concatenate([[0], np.cumsum(code, dtype=np.int64) + np.arange(1, len(v) + 1)])
+    cut = zip((quad_ends - quads).tolist(), quad_ends.tolist(), data_ends[ends - counts].tolist(), data_ends[ends].tolist(), strict=True)
+    return [(control[a:b], data[c:d]) for a, b, c, d in cut]
 
 
 def decode_values(control: np.ndarray, data: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -58,6 +68,8 @@ def decode_values(control: np.ndarray, data: np.ndarray, counts: np.ndarray) ->
     padded = np.concatenate([data, np.zeros(4, np.uint8)])
     for k in range(4):
         has = lengths > k
+        if not has.any():
+            break
         out[has] |= padded[begins[has] + k].astype(np.uint32) << np.uint32(8 * k)
     return out
 
@@ -101,10 +113,16 @@ def frequency_order(encoded: DataFrame) -> np.ndarray:
     return np.array([r.id for r in sorted(rows, key=lambda r: (-r.n, r.id))], np.uint32)
 
 
+def _bounds(encoded: DataFrame, buckets: int) -> np.ndarray:
+    """Bounds of about even ranges of doc_id: approximate quantiles of doc_id alone, so the ids are not read for them."""
+    found = encoded.select("doc_id").approxQuantile("doc_id", [k / buckets for k in range(1, buckets)], 0.2 / buckets)
+    return np.unique(np.array(found, np.float64).astype(np.int64))
+
+
 def write_token_files(encoded: DataFrame, folder: str, order: np.ndarray, file_ids: int = 4_000_000) -> DataFrame:
     """Writes the ids in ascending doc_id order (null first); returns the manifest.
 
-    The rows are range-partitioned by doc_id as coded bytes, and each task writes files of about
+    The rows go by ranges of doc_id as coded bytes, and each range is written to files of about
     ``file_ids`` ids. The manifest has a row for each file: path, part and number (its place in the
     order), n_docs, n_ids, and start, the ids before it. A name belongs to one attempt of a task;
     only the files of the attempts that count are in the manifest.
@@ -113,21 +131,25 @@ def write_token_files(encoded: DataFrame, folder: str, order: np.ndarray, file_i
     ranks = np.zeros(int(order.max()) + 1 if len(order) else 1, np.uint32)
     ranks[order] = np.arange(len(order), dtype=np.uint32)
     shared = spark.sparkContext.broadcast(ranks)
+    bounds = _bounds(encoded, 4 * shuffle_parts(spark))
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank = shared.value
         for batch in batches:
-            ids = [np.frombuffer(x, "<u4") for x in batch.column("ids").to_pylist()]
-            pairs = [encode_values(rank[x]) for x in ids]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([len(x) for x in ids], pa.int64()), pa.array([c for c, _ in pairs], pa.binary()), pa.array([d for _, d in pairs], pa.binary())],
-                ["doc_id", "n", "control", "data"],
-            )
+            for i in range(0, len(batch), 2000):
+                part = batch.slice(i, 2000)
+                ids = part.column("ids").to_pylist()
+                doc = part.column("doc_id").fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False)
+                bucket = np.searchsorted(bounds, doc, "left").astype(np.int64)
+                counts = np.array([len(x) // 4 for x in ids], np.int64)
+                pairs = encode_many(rank[np.frombuffer(b"".join(ids), "<u4")], counts)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("doc_id"), pa.array(bucket), pa.array(counts), pa.array([c for c, _ in pairs], pa.binary()), pa.array([d for _, d in pairs], pa.binary())],
+                    ["doc_id", "bucket", "n", "control", "data"],
+                )
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        part, number, held, size = TaskContext.get().partitionId(), 0, [], 0
+        part, number, held, size = -1, 0, [], 0
 
         def flush() -> pa.RecordBatch:
             path = f"{folder}/{part:06d}-{number:06d}-{uuid.uuid4().hex}.qtok"
@@ -139,6 +161,12 @@ def write_token_files(encoded: DataFrame, folder: str, order: np.ndarray, file_i
 
         for batch in batches:
             for row in batch.to_pylist():
+                if held and row["bucket"] != part:
+                    yield flush()
+                    number, held, size = 0, [], 0
+                elif row["bucket"] != part:
+                    number = 0
+                part = row["bucket"]
                 held.append(row)
                 size += row["n"]
                 if size >= file_ids:
@@ -147,8 +175,9 @@ def write_token_files(encoded: DataFrame, folder: str, order: np.ndarray, file_i
         if held:
             yield flush()
 
-    coded = encoded.mapInArrow(code, "doc_id long, n long, control binary, data binary")
-    ranged = coded.repartitionByRange(shuffle_parts(spark), F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "n", "control", "data")
+    order_by = ["bucket", F.col("doc_id").asc_nulls_first(), "n", "control", "data"]
+    coded = encoded.mapInArrow(code, "doc_id long, bucket long, n long, control binary, data binary")
+    ranged = coded.repartition(shuffle_parts(spark), "bucket").sortWithinPartitions(*order_by)
     files = materialize(ranged.mapInArrow(write, "path string, part long, number long, n_docs long, n_ids long"), "manifest")
     parts = files.groupBy("part").agg(F.sum("n_ids").alias("of_part")).withColumn("before", F.sum("of_part").over(W.orderBy("part")) - F.col("of_part"))
     inside = F.sum("n_ids").over(W.partitionBy("part").orderBy("number")) - F.col("n_ids")
