@@ -63,15 +63,19 @@ def parse_header(data: bytes, at: int) -> tuple[dict[str, str], int] | None:
     return (fields, end + 4) if fields.get("content-length", "").isdecimal() else None
 
 
-def write_archives(pages: DataFrame, folder: str, min_revisit: int = 0, file_bytes: int = 32 << 20) -> DataFrame:
+def write_archives(pages: DataFrame, folder: str, min_revisit: int = 0, file_bytes: int = 32 << 20, few: int = 200_000) -> DataFrame:
     """Writes a record per row of ``pages`` and returns the files: path, size.
 
     Of rows whose html is equal and at least ``min_revisit`` bytes long, the one with the largest
-    page_id is a response and the others revisit it; a null html is empty.
+    page_id is a response and the others revisit it; a null html is empty. The payloads that occur more
+    than once are broadcast if a count proves them ``few``, so the html stays where it is; else it is shuffled.
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     rows = rows.withColumn("key", F.sha2(F.col("html").cast("binary"), 256))
     groups = rows.groupBy("key").agg(F.max("page_id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    groups = materialize(groups, "payloads")
+    if groups.limit(few + 1).count() <= few:
+        groups = F.broadcast(groups)
     again = (F.col("page_id").isNull() | (F.col("page_id") != F.col("first"))) & (F.octet_length("html") >= min_revisit)
     marked = rows.join(groups, "key", "left").select("page_id", "url", "html", F.when(again, F.col("first")).alias("refers_to"))
 
