@@ -56,6 +56,19 @@ def release(*tables: DataFrame) -> None:
             target.getFileSystem(conf).delete(target, True)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores before it until no column of ``df`` has it, in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def without_column(df: DataFrame, name: str) -> DataFrame:
+    """``df`` without the columns called ``name``, in any case."""
+    return df.select(*(c for c in df.columns if c.lower() != name.lower()))
+
+
 def reclaim(spark: SparkSession) -> None:
     """Lets Spark drop the shuffle files of plans that nothing refers to any more, which it does on collection only."""
     gc.collect()

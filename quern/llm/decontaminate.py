@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quern.llm.common import new_path, read_range, text_bytes, write_file
+from quern.llm.common import free_name, new_path, read_range, text_bytes, without_column, write_file
 
 #: Words in a window; fixed by the contract of the contamination rule.
 WINDOW = 13
@@ -159,7 +159,7 @@ def load_benchmark(benchmark: DataFrame, window: int = WINDOW, block_bytes: int
     yield Benchmark(items, window)
 
 
-def find_benchmark_passages(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_bytes: int = 24 << 20) -> DataFrame:
+def find_benchmark_passages(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_bytes: int = 24 << 20, column: str = "passages") -> DataFrame:
     """Adds to each row of ``docs`` its n_words, n_hit, item_ids, matches and whether it is contaminated.
 
     A window is ``window`` consecutive words of an item; an item of fewer words, but not none, is one
@@ -167,12 +167,12 @@ def find_benchmark_passages(docs: DataFrame, benchmark: DataFrame, window: int =
     occurring windows (each once, sorted; null ids mark words but are not listed), matches the longest
     verbatim matches with their places. A row is contaminated if n_hit > 0 and 20 * n_hit >= n_words.
     Null and empty texts have no words and are clean; equal rows get equal results. The added columns
-    stand in one struct, ``passages``, so they clash with none of ``docs``.
+    stand in one struct, ``column``, which takes the place of a column of ``docs`` with that name.
 
     A benchmark of at most 32 MB is broadcast. A larger one is cut into blocks of that size, which
     stand in the shared folder; each shard reads one after another and merges the matches.
     """
-    spark = docs.sparkSession
+    spark, docs = docs.sparkSession, without_column(docs, column)
     folder, paths, first = new_path(spark, "benchmark"), [], None
     for k, block in enumerate(load_benchmark(benchmark, window)):
         if k == 0:
@@ -211,15 +211,16 @@ def find_benchmark_passages(docs: DataFrame, benchmark: DataFrame, window: int =
                 size += len(text)
                 if size >= shard_bytes or k == len(texts) - 1:
                     part = batch.slice(begin, k + 1 - begin)
-                    yield part.append_column("passages", pa.array(found(texts[begin : k + 1]), kind))
+                    yield part.append_column(column, pa.array(found(texts[begin : k + 1]), kind))
                     begin, size = k + 1, 0
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields]).add("passages", T.StructType.fromDDL(SCHEMA)))
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields]).add(column, T.StructType.fromDDL(SCHEMA)))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """``docs`` without the contaminated rows."""
-    return find_benchmark_passages(docs, benchmark, window).filter("NOT passages.contaminated").select(docs.columns)
+    name = free_name(docs, "passages")
+    return find_benchmark_passages(docs, benchmark, window, column=name).filter(~F.col(name).contaminated).select(docs.columns)
 
 
 def item_digest(item_ids: list[str]) -> str:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quern.llm.common import texts
+from quern.llm.common import free_name, texts, without_column
 
 #: Letters of other scripts by the Latin letter they look like.
 HOMOGLYPHS = {
@@ -53,7 +53,7 @@ HOMOGLYPHS = {
     "z": "ᴢźżž",
 }
 #: Digits and signs by the letter they stand for within a word. i and l fold together, as 1 is both.
-DIGITS = {"0": "o", "1": "l", "!": "l", "3": "e", "4": "a", "@": "a", "5": "s", "$": "s", "7": "t", "8": "b", "9": "g", "i": "l"}
+DIGITS = {"0": "o", "1": "l", "3": "e", "4": "a", "@": "a", "5": "s", "$": "s", "7": "t", "8": "b", "9": "g", "i": "l"}
 
 
 def _fold_table() -> dict[int, str]:
@@ -193,23 +193,25 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 8_000) -> Lexicon
     return learn((r.text, r.toxic) for r in chosen.select("text", "toxic").toLocalIterator())
 
 
-def score_toxicity(docs: DataFrame, lexicon: Lexicon, threshold: float = 0.3) -> DataFrame:
-    """Adds to each row of ``docs`` one struct, ``toxicity``, of score and predicted (score >= threshold).
+def score_toxicity(docs: DataFrame, lexicon: Lexicon, threshold: float = 0.3, column: str = "toxicity") -> DataFrame:
+    """Adds to each row of ``docs`` one struct, ``column``, of score and predicted (score >= threshold).
 
     Null texts count as empty; empty texts get the score of no hit. Equal texts get equal scores. The
-    one added column clashes with none of ``docs`` unless named so.
+    struct takes the place of a column of ``docs`` with that name.
     """
+    docs = without_column(docs, column)
     kind = pa.struct([("score", pa.float64()), ("predicted", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = lexicon.automaton()
         for batch in batches:
             scores = [lexicon.score(*lexicon.features(fold(t), automaton)) for t in texts(batch.column("text"))]
-            yield batch.append_column("toxicity", pa.array([{"score": s, "predicted": int(s >= threshold)} for s in scores], kind))
+            yield batch.append_column(column, pa.array([{"score": s, "predicted": int(s >= threshold)} for s in scores], kind))
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields]).add("toxicity", T.StructType.fromDDL("score double, predicted int")))
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields]).add(column, T.StructType.fromDDL("score double, predicted int")))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``docs`` without the rows predicted toxic."""
-    return score_toxicity(docs, fit(docs, labels)).filter("toxicity.predicted = 0").select(docs.columns)
+    name = free_name(docs, "toxicity")
+    return score_toxicity(docs, fit(docs, labels), column=name).filter(F.col(name).predicted == 0).select(docs.columns)
