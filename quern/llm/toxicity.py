@@ -1,9 +1,9 @@
 """Toxicity by a weighted lexicon.
 
 Texts are folded first: lower case, look-alike letters of other scripts, digits and signs that
-stand for letters, separators to one space. A lexicon of folded words, each with a weight, is
-learned from labelled rows: words are taken greedily by how many toxic texts they cover that the
-lexicon doesn't yet, among words far commoner in toxic texts. Where a word of the lexicon stands in
+stand for letters, separators to one space. A lexicon of folded words and beginnings of words, each
+with a weight, is learned from labelled rows: they are taken greedily by how many toxic texts they
+cover that the lexicon doesn't yet, among those far commoner in toxic texts. Where a word of the lexicon stands in
 a phrase that only clean texts have, the phrase is an exception and its words don't count. One
 Aho-Corasick automaton finds words and exceptions; the weights found, normalised by length, and a
 logistic curve give the score.
@@ -75,7 +75,7 @@ def fold_word(word: str) -> str:
 
 @dataclass
 class Lexicon:
-    """Weights of folded words, exception phrases, and the curve from (log density, log weight) to a score."""
+    """Weights of folded words (a star ends the beginning of words), exception phrases, and the curve from (log density, log weight) to a score."""
 
     weights: dict[str, float] = field(default_factory=dict)
     exceptions: tuple[str, ...] = ()
@@ -87,7 +87,8 @@ class Lexicon:
 
         found = ahocorasick.Automaton()
         for word, weight in self.weights.items():
-            found.add_word(f" {word} ", (len(word), weight))
+            pattern = f" {word[:-1]}" if word.endswith("*") else f" {word} "
+            found.add_word(pattern, (len(pattern) - 2, weight))
         for phrase in self.exceptions:
             found.add_word(f" {phrase} ", (len(phrase), 0.0))
         if len(found):
@@ -114,46 +115,54 @@ def inputs(total: float, n_words: int, prior: float) -> tuple[float, float, floa
     return 1.0, math.log((total / max(1, n_words) + prior) / prior), math.log1p(total)
 
 
-def learn(rows: Iterable[tuple[str, int]], max_words: int = 2000, min_share: float = 0.01, min_odds: float = 2.0) -> Lexicon:
+def _features(folded: str, stems: tuple[int, ...]) -> set[str]:
+    """A text's words, and their beginnings of ``stems`` letters marked with a star."""
+    ws = set(folded.split())
+    return ws | {f"{w[:n]}*" for w in ws for n in stems if len(w) > n}
+
+
+def learn(rows: Iterable[tuple[str, int]], max_words: int = 2000, min_share: float = 0.01, min_odds: float = 2.0, stems: tuple[int, ...] = (4, 5, 6)) -> Lexicon:
     """A lexicon from (text, label) rows.
 
-    A word may enter if its log-odds for toxic texts are at least ``min_odds`` and at least
-    max(3, min_share of the toxic texts) hold it; it does enter if that many toxic texts hold it that
-    have fewer than two words of the lexicon so far. So words that only go along with toxic ones stay out.
+    Entries are words, or beginnings of words, whose log-odds for toxic texts are at least ``min_odds``
+    and that at least max(3, min_share of the toxic texts) hold. One enters if that many toxic texts hold
+    it that have fewer than three entries so far, the one that covers most first. So words that only go
+    along with toxic ones stay out.
     """
     folded = [(fold(t), int(y)) for t, y in rows]
-    sets = [(set(t.split()), y) for t, y in folded]
-    n = [sum(y == k for _, y in sets) for k in (0, 1)]
+    n = [sum(y == k for _, y in folded) for k in (0, 1)]
     if not n[0] or not n[1]:
         return Lexicon()
     df = (Counter(), Counter())
-    for ws, y in sets:
-        df[y].update(ws)
-    odds = lambda w: math.log((df[1][w] + 0.5) / (n[1] + 1)) - math.log((df[0][w] + 0.5) / (n[0] + 1))
+    for t, y in folded:
+        if y:
+            df[1].update(_features(t, stems))
     least = max(3, math.ceil(min_share * n[1]))
-    able = {w for w, c in df[1].items() if c >= least and odds(w) >= min_odds}
+    able = {w for w, c in df[1].items() if c >= least}
+    for t, y in folded:
+        if not y:
+            df[0].update(_features(t, stems) & able)
+    odds = lambda w: math.log((df[1][w] + 0.5) / (n[1] + 1)) - math.log((df[0][w] + 0.5) / (n[0] + 1))
+    able = {w for w in able if odds(w) >= min_odds}
     holders: dict[str, list[int]] = {w: [] for w in able}
-    for k, (ws, y) in enumerate(sets):
+    for k, (t, y) in enumerate(folded):
         if y:
-            for w in ws & able:
+            for w in _features(t, stems) & able:
                 holders[w].append(k)
     cover, weights = Counter(), {}
     while able and len(weights) < max_words:
-        gain = {w: sum(cover[k] < 2 for k in holders[w]) for w in able}
-        best = max(able, key=lambda w: (gain[w] * odds(w), w))
+        gain = {w: sum(cover[k] < 3 for k in holders[w]) for w in able}
+        best = max(able, key=lambda w: (gain[w] * odds(w), not w.endswith("*"), w))
         if gain[best] < least:
             break
         weights[best] = odds(best)
         cover.update(holders[best])
         able.discard(best)
-    # Words as strong and as common as the weakest chosen one belong to the lexicon, too.
-    if weights:
-        low, common = min(weights.values()), min(df[1][w] for w in weights)
-        weights |= {w: odds(w) for w in able if odds(w) >= low and df[1][w] >= common}
     phrases = (Counter(), Counter())
     for t, y in folded:
         ws = t.split()
-        near = {" ".join(p) for p in zip(ws, ws[1:], strict=False) if p[0] in weights or p[1] in weights}
+        listed = [w in weights or any(f"{w[:n]}*" in weights for n in stems if len(w) > n) for w in ws]
+        near = {" ".join(ws[k : k + 2]) for k in range(len(ws) - 1) if listed[k] or listed[k + 1]}
         phrases[y].update(near)
     exceptions = tuple(sorted(p for p, c in phrases[0].items() if c >= least and not phrases[1][p]))
     made = Lexicon(weights, exceptions)
