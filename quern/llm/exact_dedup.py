@@ -131,24 +131,29 @@ def recipes(docs: DataFrame, digests: Sequence[Callable[[bytes], bytes]] = DIGES
     raise ValueError("every digest gave different chunks one name")
 
 
-def exact_duplicates(docs: DataFrame, digests: Sequence[Callable[[bytes], bytes]] = DIGESTS) -> DataFrame:
+def exact_duplicates(docs: DataFrame, digests: Sequence[Callable[[bytes], bytes]] = DIGESTS, few: int = 50_000) -> DataFrame:
     """Groups documents whose texts are identical without ASCII white space.
 
     Returns one row per input row: rid, doc_id, keep_id, group_size, kept, text_sha256, text_key (a
     hash of the original text). Of a group
     the row with the most code points in its original text stays, then the smallest doc_id (null
     last), then the first of repeated rows. Null texts count as empty; empty texts are one group.
-    Other columns are ignored. An empty table gives an empty result.
+    Other columns are ignored. An empty table gives an empty result. The recipes that repeat are
+    broadcast if a count proves them ``few``, so a large group of copies meets in no task.
     """
     table = recipes(docs, digests)
     best: Column = F.max(F.struct("n_points", (-F.col("doc_id")).alias("neg_id"), (-F.col("rid")).alias("neg_rid")))
-    groups = table.groupBy("recipe").agg(best.alias("best"), F.count(F.lit(1)).alias("group_size"))
-    return table.join(groups, "recipe").select(
+    groups = table.groupBy("recipe").agg(best.alias("best"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    groups = materialize(groups.select("recipe", "n", (-F.col("best.neg_id")).alias("first_id"), (-F.col("best.neg_rid")).alias("first_rid")), "repeated")
+    if groups.limit(few + 1).count() <= few:
+        groups = F.broadcast(groups)
+    single = F.col("n").isNull()
+    return table.join(groups, "recipe", "left").select(
         "rid",
         "doc_id",
-        (-F.col("best.neg_id")).alias("keep_id"),
-        "group_size",
-        (F.col("rid") == -F.col("best.neg_rid")).alias("kept"),
+        F.when(single, F.col("doc_id")).otherwise(F.col("first_id")).alias("keep_id"),
+        F.coalesce("n", F.lit(1)).cast("long").alias("group_size"),
+        (single | (F.col("rid") == F.col("first_rid"))).alias("kept"),
         "text_sha256",
         "text_key",
     )
