@@ -159,7 +159,7 @@ def load_benchmark(benchmark: DataFrame, window: int = WINDOW, block_bytes: int
     yield Benchmark(items, window)
 
 
-def find_benchmark_passages(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_bytes: int = 24 << 20, column: str = "passages") -> DataFrame:
+def find_benchmark_passages(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_bytes: int = 6 << 20, column: str = "passages") -> DataFrame:
     """Adds to each row of ``docs`` its n_words, n_hit, item_ids, matches and whether it is contaminated.
 
     A window is ``window`` consecutive words of an item; an item of fewer words, but not none, is one
