@@ -195,11 +195,12 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 8_000) -> Lexicon
     Rows without a label, and held-out rows, are not learned from. Where no row of either label is
     left, the lexicon is empty and every score low.
     """
-    marked = labels.filter("toxic IN (0, 1)").groupBy(F.col("doc_id").alias("labelled")).agg(F.max("toxic").alias("toxic"))
-    rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    known = rows.filter(~held_out()).join(marked, F.col("doc_id") == F.col("labelled"))
-    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(sample_rows)
-    return learn((r.text, r.toxic) for r in chosen.select("text", "toxic").toLocalIterator())
+    marked = labels.filter("toxic IN (0, 1)").filter(~held_out()).groupBy(F.col("doc_id").alias("labelled")).agg(F.max("toxic").alias("toxic"))
+    # The rows are chosen by their labels alone and are at most sample_rows, so the texts stay where they are.
+    chosen = F.broadcast(marked.orderBy(F.xxhash64("labelled"), "labelled").limit(sample_rows))
+    rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).filter(~held_out())
+    found = rows.join(chosen, F.col("doc_id") == F.col("labelled")).select("text", "toxic").collect()
+    return learn(sorted((r.text, r.toxic) for r in found))
 
 
 def score_toxicity(docs: DataFrame, lexicon: Lexicon, threshold: float = 0.3, column: str = "toxicity") -> DataFrame:
