@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.functions import ids, scoring, text
@@ -90,9 +90,13 @@ def sparse(spark: SparkSession, sf_dir: str, depth: int = 20) -> DataFrame:
     return search.sparse_topk(stats.postings(p, stats.corpus_stats(p)), weighted(spark, sf_dir, p), depth)
 
 
-def dense(spark: SparkSession, sf_dir: str, depth: int = 20) -> DataFrame:
+#: Which ids are query vectors, as the queries' SQL has it; dense() and _fused() take any other set.
+QUERY_SET = lambda i: i < 5
+
+
+def dense(spark: SparkSession, sf_dir: str, depth: int = 20, chosen: Callable[[Column], Column] = QUERY_SET) -> DataFrame:
     e = readers.table(spark, sf_dir, "embeddings")
-    vectors = [(r.vec_id, list(r.embedding)) for r in e.filter("vec_id < 5").select("vec_id", "embedding").collect()]  # five query vectors
+    vectors = e.filter(chosen(F.col("vec_id"))).select(F.col("vec_id").cast("long").alias("query_id"), F.col("embedding").alias("v"))
     return search.dense_topk(e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("dense")), vectors, depth)
 
 
@@ -182,8 +186,8 @@ def dense_topk(spark, sf_dir):
     return dense(spark, sf_dir).select("query_id", "id", W6(F.col("score")).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
-def _fused(spark, sf_dir, weights=None):
-    return search.fuse(dense(spark, sf_dir), sparse(spark, sf_dir).filter("query_id < 5"), weights)
+def _fused(spark, sf_dir, weights=None, chosen=QUERY_SET):
+    return search.fuse(dense(spark, sf_dir, chosen=chosen), sparse(spark, sf_dir).filter(chosen(F.col("query_id"))), weights)
 
 
 def _fused_columns(df):

@@ -130,3 +130,16 @@ def test_content_by_page(spark):
     out = views.document_content(df).collect()
     assert [(r.content, r.section_titles) for r in out] == [("first last none", ["B", "A"])]
     assert [tuple(r) for r in views.document_list(df).collect()] == [("f", "A", "u")]
+
+
+def test_dense_topk_in_blocks(spark):
+    vectors = [[float(i % 7), float(i % 5), float(i % 3)] for i in range(60)]
+    points = spark.createDataFrame(list(enumerate(vectors)), "id long, dense array<double>")
+    queries = points.filter("id % 2 = 0").select(F.col("id").alias("query_id"), F.col("dense").alias("v"))
+    dot = lambda a, b: sum(x * y for x, y in zip(a, b, strict=True))
+    want = {q: sorted(range(60), key=lambda i: (-dot(vectors[i], vectors[q]), i))[:4] for q in range(0, 60, 2)}
+    for block in (1, 7, 64):
+        got = {}
+        for r in search.dense_topk(points, queries, 4, block).orderBy("rank").collect():
+            got.setdefault(r.query_id, []).append(r.id)
+        assert got == want
