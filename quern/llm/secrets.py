@@ -1,10 +1,11 @@
 """Secret scans: fixed patterns, and sliding-window entropy over candidate strings.
 
-A candidate is a run of 20 or more characters that keys are written with. A window slides over it,
-one for each character class, and the Shannon entropy of the window is kept by adding the character
-that enters and taking off the one that leaves. Windows above a class's threshold merge to a span of
-kind "entropy". Allow-listed candidates (known-harmless shapes, and words without digits) are
-suppressed, as are spans that a base match covers. Base spans always stay.
+A candidate is a run of 20 or more characters that keys are written with. For each character class a
+window slides over every maximal run of the class's characters in it, and the Shannon entropy of the
+window is kept by adding the character that enters and taking off the one that leaves. Windows above a
+class's threshold merge, with those of other classes, to a span of kind "entropy". Allow-listed runs
+(known-harmless shapes, and words without digits) are suppressed, as are spans that a base match
+covers. Base spans always stay.
 """
 
 from __future__ import annotations
@@ -33,7 +34,9 @@ CLASSES = (
     ("alnum", frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"), 20, 3.7),
     ("base64", frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"), 24, 4.1),
 )
-#: Candidates that look random and are not secret: UUIDs, paths and slugs of words, decimal numbers, one case without a digit.
+#: By class: its runs that are no shorter than its window, which are maximal as the match is greedy, window and least entropy.
+RUNS = tuple((re.compile(f"[{re.escape(''.join(sorted(letters)))}]{{{width},}}"), width, least) for _, letters, width, least in CLASSES)
+#: Runs that look random and are not secret: UUIDs, paths and slugs of words, decimal numbers, one case without a digit.
 ALLOWED = (
     re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}"),
     re.compile(r"[+/_=-]*[A-Za-z]*[a-z]+([+/_=-]+[A-Za-z]*[a-z]*)*"),
@@ -84,15 +87,19 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 
 def entropy_spans(text: str, allowed: Sequence[re.Pattern] = ALLOWED) -> list[tuple[str, int, int]]:
-    found = []
+    found: list[tuple[str, int, int]] = []
     for c in CANDIDATE.finditer(text):
-        s = c.group()
-        if any(p.fullmatch(s) for p in allowed):
-            continue
-        for _, letters, width, least in CLASSES:
-            if letters.issuperset(s):
-                found += [("entropy", c.start() + a, c.start() + b) for a, b in entropy_windows(s, width, least)]
-                break
+        windows = []
+        for runs, width, least in RUNS:
+            for run in runs.finditer(text, c.start(), c.end()):
+                if not any(p.fullmatch(run.group()) for p in allowed):
+                    windows += [(run.start() + a, run.start() + b) for a, b in entropy_windows(run.group(), width, least)]
+        first = len(found)
+        for a, b in sorted(windows):
+            if len(found) > first and a <= found[-1][2]:
+                found[-1] = ("entropy", found[-1][1], max(b, found[-1][2]))
+            else:
+                found.append(("entropy", a, b))
     return found
 
 

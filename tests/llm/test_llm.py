@@ -153,6 +153,28 @@ def test_secrets_rows(spark, texts):
     assert secrets.scan_secrets(corpus(spark, [])).count() == 0
 
 
+def test_keys_joined_to_signs_and_letters_are_found():
+    r = random.Random(5)
+    upper, alnum = "0123456789ABCDEF", "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+    def share(before, letters, n, after="", count=300):
+        hits = 0
+        for _ in range(count):
+            key = "".join(r.choices(letters, k=n))
+            begin, end = len(before), len(before) + n
+            hits += any(a < end and b > begin and min(b, end) - max(a, begin) >= 20 for _, a, b in secrets.entropy_spans(before + key + after))
+        return hits / count
+
+    for before in ("", "key=", "sid=", "/", "id-", "x"):
+        assert share(before, upper, 32) > 0.98
+    for before in ("k=", "ab=", "user_"):
+        assert share(before, alnum, 20) > 0.9
+    assert share("", alnum, 20, "=") > 0.9
+    # Harmless shapes stay harmless, as a run or next to a sign.
+    for t in ("12345678-1234-1234-1234-1234567890ab", "src/main/resources/templates/index", "1234567890-1234567890-1234567890", "k=" + "a" * 40):
+        assert secrets.entropy_spans(t) == []
+
+
 # -- 4: Katz
 
 
