@@ -23,7 +23,7 @@ from quern.llm.common import materialize, new_path, read_range, release, shuffle
 
 MAGIC = b"WARC/1.1\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-#: A header may be this long; the WARC standard sets no limit, this reader does.
+#: Bytes read at first for a header; a longer one is read on until it ends, as the WARC standard sets no limit.
 MAX_HEADER = 1 << 16
 DATE = "2024-01-01T00:00:00Z"
 
@@ -38,20 +38,19 @@ def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if refers_to is not None else http + payload
     head = [f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {name(page_id)}", f"WARC-Date: {DATE}"]
-    if url is not None:
-        head.append("WARC-Target-URI: " + "".join(c if c > " " and c != "\x7f" else "".join(f"%{b:02X}" for b in c.encode()) for c in url))
-    head.append(f"WARC-Payload-Digest: sha1:{payload_digest(payload)}")
+    head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}", f"WARC-Payload-Digest: sha1:{payload_digest(payload)}"]
     if refers_to is not None:
         head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {name(refers_to)}"]
-    head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
-    return MAGIC + "\r\n".join(head).encode()[: MAX_HEADER - 64] + b"\r\n\r\n" + block + b"\r\n\r\n"
+    if url is not None:  # last, as it may be of any length
+        head.append("WARC-Target-URI: " + "".join(c if c > " " and c != "\x7f" else "".join(f"%{b:02X}" for b in c.encode()) for c in url))
+    return MAGIC + "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
 def parse_header(data: bytes, at: int) -> tuple[dict[str, str], int] | None:
     """Fields of the header at ``at`` and where its block starts; None if no whole header is there."""
     if not data.startswith(MAGIC, at):
         return None
-    end = data.find(b"\r\n\r\n", at, at + MAX_HEADER)
+    end = data.find(b"\r\n\r\n", at)
     if end < 0:
         return None
     fields = {}
@@ -63,6 +62,18 @@ def parse_header(data: bytes, at: int) -> tuple[dict[str, str], int] | None:
     return (fields, end + 4) if fields.get("content-length", "").isdecimal() else None
 
 
+def read_on(path: str, data: bytes, start: int, at: int, size: int) -> bytes:
+    """``data``, the bytes of a file from ``start``, with as many more as the header at ``at`` needs to end, or the file."""
+    looked = at
+    while data.find(b"\r\n\r\n", looked) < 0 and start + len(data) < size:
+        looked = max(at, len(data) - 3)
+        more = read_range(path, start + len(data), max(len(data) - at, MAX_HEADER))
+        if not more:
+            break
+        data += more
+    return data
+
+
 def write_archives(pages: DataFrame, folder: str, min_revisit: int = 0, file_bytes: int = 32 << 20, few: int = 200_000) -> DataFrame:
     """Writes a record per row of ``pages`` and returns the files: path, size.
 
@@ -109,12 +120,16 @@ def _leaps(files: DataFrame, split_bytes: int) -> DataFrame:
         for batch in batches:
             for split in batch.to_pylist():
                 begin, end = split["begin"], min(split["begin"] + split_bytes, split["size"])
-                data = read_range(split["path"], begin, end - begin + MAX_HEADER)
+                # A record starts the file or follows the blank line after another, so no header holds a second place.
+                start = max(begin - 4, 0)
+                data = read_range(split["path"], start, end - start + MAX_HEADER)
                 after: dict[int, int] = {}
-                at = data.find(MAGIC)
-                while 0 <= at < end - begin:
-                    if found := parse_header(data, at):
-                        after[begin + at] = begin + found[1] + int(found[0]["content-length"]) + 4
+                at = data.find(MAGIC, begin - start)
+                while 0 <= at < end - start:
+                    if start + at == 0 or data[max(at - 4, 0) : at] == b"\r\n\r\n":
+                        data = read_on(split["path"], data, start, at, split["size"])
+                        if found := parse_header(data, at):
+                            after[start + at] = start + found[1] + int(found[0]["content-length"]) + 4
                     at = data.find(MAGIC, at + 1)
                 leap: dict[int, int] = {}
                 for place in sorted(after, reverse=True):  # a successor is always further on
@@ -179,6 +194,7 @@ def read_archives(files: DataFrame, split_bytes: int = 4 << 20) -> DataFrame:
                 start, data = at, read_range(path, at, end - at + MAX_HEADER)
                 rows = []
                 while at < end:
+                    data = read_on(path, data, start, at - start, entry["size"])
                     fields, block = parse_header(data, at - start)
                     length = int(fields["content-length"])
                     body = data[block : block + length]

@@ -359,6 +359,20 @@ def test_warc(spark):
         warc.reachable(broken, 100)
 
 
+def test_warc_long_urls(spark):
+    """Urls longer than the first read of a header, of responses, revisits and the file's last record."""
+    trap = "x\r\n\r\nWARC/1.1\r\nno end of a header" + "y" * 300
+    html = ["<p>a</p>", "<p>a</p>", trap, "<p>b</p>", "end"]
+    urls = ["data:," + c * n for c, n in (("a", 65_200), ("b", 65_536), ("c", 10), ("d", 300_000), ("é", 70_000))]
+    pages = spark.createDataFrame(list(zip(range(5), urls, html, strict=True)), "page_id long, url string, html string")
+    for file_bytes, split_bytes in ((1, 9000), (32 << 20, 7000), (32 << 20, 4 << 20)):
+        files = warc.write_archives(pages, new_path(spark, "t"), file_bytes=file_bytes)
+        got = {r.page_id: r for r in warc.read_archives(files, split_bytes).collect()}
+        assert {i: r.target_uri for i, r in got.items()} == dict(enumerate(urls))
+        assert got[0].refers_to == 1 and got[0].payload is None
+        assert {i: r.payload for i, r in got.items() if i} == {i: html[i].encode() for i in range(1, 5)}
+
+
 # -- 9: Jaccard join
 
 
