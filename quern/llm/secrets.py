@@ -39,7 +39,7 @@ RUNS = tuple((re.compile(f"[{re.escape(''.join(sorted(letters)))}]{{{width},}}")
 #: Runs that look random and are not secret: UUIDs, paths and slugs of words, decimal numbers, one case without a digit.
 ALLOWED = (
     re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}"),
-    re.compile(r"[+/_=-]*[A-Za-z]*[a-z]+([+/_=-]+[A-Za-z]*[a-z]*)*"),
+    re.compile(r"[+/_=-]*[A-Za-z]*[a-z]([+/_=-][A-Za-z+/_=-]*)?"),
     re.compile(r"[0-9+/_=-]+"),
     re.compile(r"[A-Z+/_=-]+"),
 )
@@ -49,7 +49,7 @@ def entropy_windows(s: str, width: int, least: float) -> list[tuple[int, int]]:
     """Merged windows of ``width`` characters of ``s`` whose entropy is at least ``least`` bits a character."""
     if len(s) < width:
         return []
-    term = [0.0, *(n * math.log2(n) for n in range(1, width + 1))]
+    term = [0.0, *(n * math.log2(n) for n in range(1, width + 2))]  # a character enters before one leaves
     counts: dict[str, int] = {}
     total = 0.0  # the sum of n log2 n
     spans: list[tuple[int, int]] = []

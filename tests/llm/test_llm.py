@@ -4,6 +4,8 @@ import hashlib
 import math
 import random
 import re
+import subprocess
+import sys
 import zlib
 from collections import Counter
 
@@ -175,6 +177,23 @@ def test_keys_joined_to_signs_and_letters_are_found():
         assert secrets.entropy_spans(t) == []
 
 
+def test_allow_list_is_linear_in_runs_of_signs():
+    old = re.compile(r"[+/_=-]*[A-Za-z]*[a-z]+([+/_=-]+[A-Za-z]*[a-z]*)*")
+    r = random.Random(3)
+    for _ in range(5000):
+        s = "".join(r.choices("aZ-_3", weights=(4, 3, 3, 2, 0.5), k=r.randint(0, 12)))
+        assert bool(secrets.ALLOWED[1].fullmatch(s)) == bool(old.fullmatch(s))
+    # In a process of its own: a pattern in exponential time cannot be interrupted.
+    code = "from quern.llm import secrets; print(secrets.entropy_spans('Introduction' + '_' * 40 + '5'), secrets.ALLOWED[1].fullmatch('a' + '-' * 100_000 + '1'))"
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=60)
+    assert done.stdout == "[] None\n"
+
+
+def test_one_character_may_fill_a_window_and_more():
+    for t in ("0x" + "0" * 64, "A1" + "=" * 40, "x5" + "-" * 25):
+        assert secrets.entropy_spans(t) == []
+
+
 # -- 4: Katz
 
 
