@@ -76,14 +76,16 @@ def reclaim(spark: SparkSession) -> None:
 
 
 def without(docs: DataFrame, dropped: DataFrame, on: list[str], limit: int = 200_000) -> DataFrame:
-    """``docs`` without the rows whose keys are in ``dropped``.
+    """``docs`` without the rows whose keys are in ``dropped``; a null key meets a null key.
 
     The keys are broadcast if a count proves there are at most ``limit`` of them, so the texts stay
     where they are; else both sides are shuffled.
     """
-    if dropped.limit(limit + 1).count() <= limit:
-        dropped = F.broadcast(dropped)
-    return docs.join(dropped, on, "left_anti").select(docs.columns)
+    names = {c: free_name(docs, f"_drop_{c}") for c in on}
+    keys = dropped.select(*(F.col(c).alias(name) for c, name in names.items()))
+    if keys.limit(limit + 1).count() <= limit:
+        keys = F.broadcast(keys)
+    return docs.join(keys, [F.col(c).eqNullSafe(F.col(name)) for c, name in names.items()], "left_anti").select(docs.columns)
 
 
 def shuffle_parts(spark: SparkSession) -> int:

@@ -483,6 +483,16 @@ def test_exact_dedup(spark, texts):
     assert exact_dedup.exact_duplicates(corpus(spark, [])).count() == 0
 
 
+def test_null_ids_are_dropped_with_their_group(spark):
+    """A copy without doc_id goes where another row is kept, stays where it is the kept one, and once only."""
+    rows = [(1, "same text"), (None, "same text"), (None, "same  text"), (2, "sametext"), (None, "alone"), (None, "twice"), (None, "twice"), (3, None), (None, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    flags = [r.kept for r in exact_dedup.exact_duplicates(docs).collect()]
+    kept = [tuple(r) for r in exact_dedup.drop_duplicates(docs).collect()]
+    assert len(kept) == sum(flags)
+    assert sorted(kept, key=str) == sorted([(None, "same  text"), (None, "alone"), (None, "twice"), (3, None)], key=str)
+
+
 def test_clashing_digests_are_found(spark, texts):
     weak = lambda b: hashlib.sha256(b).digest()[:1]
     sure = exact_dedup.exact_duplicates(corpus(spark, texts), [weak, exact_dedup.DIGESTS[0]])
