@@ -1,6 +1,6 @@
 """Toxicity by a weighted lexicon.
 
-Texts are folded first: lower case, look-alike letters of other scripts, digits and signs that
+Texts are folded first: lower case, compatible forms, look-alike letters of other scripts, digits and signs that
 stand for letters, separators to one space. A lexicon of folded words and beginnings of words, each
 with a weight, is learned from labelled rows: they are taken greedily by how many toxic texts they
 cover that the lexicon doesn't yet, among those far commoner in toxic texts. Where a word of the lexicon stands in
@@ -12,6 +12,7 @@ logistic curve give the score.
 from __future__ import annotations
 
 import math
+import unicodedata
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
@@ -31,6 +32,7 @@ HOMOGLYPHS = {
     "c": "сϲçćč",
     "d": "ԁɗď",
     "e": "еёєεēęèéêëě",
+    "f": "ƒϝꞙẝḟ",
     "g": "ɡց",
     "h": "һнħ",
     "i": "іїιıìíîïī",
@@ -63,9 +65,12 @@ def _fold_table() -> dict[int, str]:
 
 
 _FOLD = _fold_table()
+_ALIKE = {ord(c): letter for letter, alike in HOMOGLYPHS.items() for c in alike}
 
 
 def fold(text: str) -> str:
+    if not text.isascii():  # look-alikes first, as some of them are compatible with a letter that isn't alike
+        text = unicodedata.normalize("NFKC", text.lower().translate(_ALIKE))
     return f" {' '.join(text.lower().translate(_FOLD).split())} "
 
 

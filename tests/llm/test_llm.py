@@ -121,6 +121,17 @@ def test_exceptions():
     assert lexicon.features(toxicity.fold("the trash can is trash"), auto) == (2.0, 5)
 
 
+def test_every_letter_has_look_alikes_and_other_forms():
+    for letter in "abcdefghijklmnopqrstuvwxyz":
+        plain = toxicity.fold_word(letter)
+        alike = toxicity.HOMOGLYPHS[letter]
+        assert alike and all(toxicity.fold_word(c) == plain for c in alike)
+        at = ord(letter) - ord("a")
+        for begin in (0xFF41, 0xFF21, 0x1D41A, 0x1D68A, 0x24D0):  # full-width, mathematical, in a circle
+            assert toxicity.fold_word(chr(begin + at)) == plain
+    assert toxicity.fold("\uff46oo \u0192OO re\u0301sume\u0301") == toxicity.fold("foo foo resume")
+
+
 # -- 3: secrets
 
 
