@@ -5,6 +5,7 @@ from __future__ import annotations
 import difflib
 import unicodedata
 import urllib.parse
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column
@@ -18,12 +19,21 @@ STOP_WORDS = (
 ).split()
 
 CJK = r"\p{IsHan}\p{IsKatakana}\p{IsHiragana}\p{IsHangul}"
+#: Characters that NFKC leaves as they are and that combine with nothing before them.
+STEADY = (
+    r"\x{0}-\x{9F}\x{A1}-\x{A7}\x{A9}\x{AB}-\x{AE}\x{B0}\x{B1}\x{B6}\x{B7}\x{BB}\x{BF}-\x{131}\x{134}-\x{13E}\x{141}-\x{148}\x{14A}-\x{17E}"
+    r"\x{391}-\x{3A1}\x{3A3}-\x{3CE}\x{400}-\x{482}\x{48A}-\x{52F}\x{2013}-\x{2016}\x{2018}-\x{2022}\x{20AC}\x{3001}-\x{3003}\x{3041}-\x{3096}\x{30A1}-\x{30FA}\x{4E00}-\x{9FFF}\x{AC00}-\x{D7A3}"
+)
 
 
 @F.pandas_udf(T.StringType())
-def nfkc(texts: pd.Series) -> pd.Series:
-    """Unicode normal form NFKC; texts already in it pass as they are."""
-    return texts.map(lambda t: t if t is None or unicodedata.is_normalized("NFKC", t) else unicodedata.normalize("NFKC", t))
+def _nfkc(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
+
+
+def nfkc(text: Column) -> Column:
+    """Unicode normal form NFKC. Only texts that have another than a steady character are sent through Python."""
+    return F.coalesce(_nfkc(F.when(text.rlike(f"[^{STEADY}]"), text)), text)
 
 
 def runs(text: Column) -> Column:
@@ -39,15 +49,66 @@ def run_terms(run: Column) -> Column:
     return F.when(run.rlike(rf"^[{CJK}]"), F.concat(chars, pairs)).when(kept, F.array(run)).otherwise(F.array().cast("array<string>"))
 
 
+def _words(text: Column) -> Column:
+    kept = lambda run: ((F.length(run) >= 2) | run.rlike(r"^\p{Nd}$")) & ~run.isin(STOP_WORDS)
+    return F.filter(F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)), kept)
+
+
 def terms(text: Column, normalize: bool = True) -> Column:
     """Search terms of a text. Without ``normalize`` the text must be in NFKC already."""
     source = nfkc(F.coalesce(text, F.lit(""))) if normalize else F.coalesce(text, F.lit(""))
-    return F.flatten(F.transform(runs(source), run_terms))
+    # Texts without CJK characters, which most are, need no second look at their runs.
+    return F.when(source.rlike(f"[{CJK}]"), F.flatten(F.transform(runs(source), run_terms))).otherwise(_words(source))
+
+
+def legacy_terms(text: Column) -> Column:
+    """Terms as older vectors have them: lower-case runs of two characters or more, or one digit; no normal form, no stop words."""
+    return F.filter(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)), lambda r: (F.length(r) >= 2) | r.rlike(r"^\p{Nd}$"))
+
+
+def counted(tokens: Column) -> Column:
+    """array<struct<term, tf>> of an array of terms, sorted by term; linear after the sort, and within the row."""
+    kind = "array<struct<term: string, tf: int>>"
+    ordered = F.array_sort(tokens)
+    # Terms and the places where the next one starts; the places are differences of term frequencies.
+    starts = lambda s: F.filter(F.sequence(F.lit(1), F.size(s)), lambda k: (k == 1) | (s[k - 1] != s[k - 2]))
+    sizes = lambda s, at: F.transform(at, lambda a, j: F.struct(s[a - 1].alias("term"), (F.coalesce(F.get(at, j + 1), F.size(s) + 1) - a).cast("int").alias("tf")))
+    once = lambda x, fn: F.transform(F.array(x), fn)[0]  # noqa: E731  binds x, which would else be computed for each element
+    return F.when(F.size(tokens) > 0, once(ordered, lambda s: once(starts(s), lambda at: sizes(s, at)))).otherwise(F.array().cast(kind))
+
+
+def token_count(text: Column, tokens: Callable[[Column], Column] | None = None) -> Column:
+    """Tokens of a text by ``tokens``, or where there is none or it gives null a quarter of its length, 1 at least."""
+    fallback = F.greatest(F.lit(1), F.floor(F.length(text) / 4).cast("int"))
+    return F.coalesce(tokens(text).cast("int"), fallback) if tokens else fallback
+
+
+def tokenizer(load: Callable[[], Callable[[str], int]]) -> Callable[[Column], Column]:
+    """A tokenizer's count as a Column function; ``load`` makes it once a worker, texts it raises on get null."""
+
+    @F.pandas_udf(T.IntegerType())
+    def counts(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        count = load()
+
+        def one(text: str | None) -> int | None:
+            try:
+                return None if text is None else count(text)
+            except Exception:  # the fallback counts it
+                return None
+
+        for texts in batches:
+            yield pd.Series([one(t) for t in texts], dtype="Int32")
+
+    return counts
+
+
+def preview(text: Column, n: int) -> Column:
+    """The first ``n`` characters, empty for null."""
+    return F.substring(F.coalesce(text, F.lit("")), 1, n)
 
 
-def token_count(text: Column) -> Column:
-    """Tokens of a text where no tokenizer is at hand: a quarter of its length, 1 at least."""
-    return F.greatest(F.lit(1), F.floor(F.length(text) / 4).cast("int"))
+def is_image(content_type: Column) -> Column:
+    return F.coalesce(content_type.startswith("image/"), F.lit(False))
 
 
 def strip(text: Column) -> Column:
