@@ -1,59 +1,75 @@
-"""Markdown to sections and paragraphs, with window functions only."""
+"""Markdown to sections and paragraphs, and HTML to markdown."""
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_right
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quern.functions.text import strip
 
 
+_HEAD = re.compile(r"^(#{1,6})\s+(.*)$")
+
+
 def lines(files: DataFrame) -> DataFrame:
     """(file, pos, line) of (file, md)."""
     return files.select("file", F.posexplode(F.split(F.coalesce("md", F.lit("")), "\n")).alias("pos", "line"))
 
 
-def _marked(files: DataFrame) -> DataFrame:
-    by_file = W.partitionBy("file").orderBy("pos").rowsBetween(W.unboundedPreceding, 0)
-    bare = strip(F.col("line"))
-    df = lines(files).withColumn("is_fence", bare.startswith("```"))
-    df = df.withColumn("inside", (F.sum(F.col("is_fence").cast("int")).over(by_file) % 2) == 1)
-    free = ~F.col("inside") & ~F.col("is_fence")
-    df = df.withColumn("is_head", free & F.col("line").rlike(r"^#{1,6}\s+.*$")).withColumn("is_blank", free & (bare == ""))
-    # Content ahead of any heading opens an untitled section; without it sections start at 0 with the first heading.
-    df = df.withColumn("content", ~F.col("is_head") & ~F.col("is_blank"))
-    df = df.withColumn("sec", F.sum(F.col("is_head").cast("int")).over(by_file)).withColumn("grp", F.sum((F.col("is_head") | F.col("is_blank")).cast("int")).over(by_file))
-    preface = F.max(F.when((F.col("sec") == 0) & F.col("content"), 1).otherwise(0)).over(W.partitionBy("file"))
-    return df.withColumn("section_idx", F.col("sec") + preface - 1)
+def parse(md: str) -> list[dict]:
+    """Sections (section_idx, title, level, paras) of a markdown text.
+
+    A line that starts a fence turns code on or off and is content; in code all lines are. Elsewhere a
+    heading opens a section and a blank line ends a paragraph. Content ahead of any heading is an untitled section.
+    """
+    rows = md.splitlines()
+    bare = [x.strip() for x in rows]
+    fence = np.array([x.startswith("```") for x in bare], bool)
+    free = (np.cumsum(fence) % 2 == 0) & ~fence
+    heads = {k: m for k in np.flatnonzero(free & np.array([x.startswith("#") for x in rows], bool)).tolist() if (m := _HEAD.match(rows[k]))}
+    ends = np.flatnonzero(free & np.array([not x for x in bare], bool)).tolist()  # blank lines
+    opened = [-1, *heads]
+    out = []
+    for at, stop in zip(opened, [*heads, len(rows)], strict=True):
+        cuts = [at, *ends[bisect_right(ends, at) : bisect_right(ends, stop - 1)], stop]
+        blocks = ("\n".join(rows[a + 1 : b]).strip() for a, b in zip(cuts, cuts[1:], strict=False))
+        found = {"section_idx": len(out), "title": None, "level": 1, "paras": [x for x in blocks if x]}
+        if at >= 0:
+            found |= {"title": heads[at][2].strip() or None, "level": len(heads[at][1])}
+        elif stop == 0 or not any(bare[:stop]):
+            continue  # nothing ahead of the first heading
+        out.append(found)
+    return out
+
+
+def parsed(files: DataFrame) -> DataFrame:
+    """(file, section_idx, title, level, paras) of (file, md); a file is parsed in its row, so nothing is shuffled."""
+
+    @F.pandas_udf("array<struct<section_idx: int, title: string, level: int, paras: array<string>>>")
+    def found(mds: pd.Series) -> pd.Series:
+        return mds.map(lambda md: parse(md or ""))
+
+    return files.select("file", F.inline(found("md")))
 
 
 def sections(files: DataFrame) -> DataFrame:
     """(file, section_idx, title, level) of every section, those without text too; title null if empty."""
-    df = _marked(files)
-    heads = df.filter("is_head").select(
-        "file",
-        "section_idx",
-        F.nullif(strip(F.regexp_extract("line", r"^(#{1,6})\s+(.*)$", 2)), F.lit("")).alias("title"),
-        F.length(F.regexp_extract("line", r"^(#{1,6})\s+(.*)$", 1)).alias("level"),
-    )
-    preface = df.filter("sec = 0 AND content").select("file", "section_idx", F.lit(None).cast("string").alias("title"), F.lit(1).alias("level")).distinct()
-    return preface.unionByName(heads)
+    return parsed(files).drop("paras")
 
 
 def paragraphs(files: DataFrame) -> DataFrame:
     """(file, section_idx, para_idx, text): lines joined, stripped, none empty."""
-    body = _marked(files).filter("content").groupBy("file", "section_idx", "grp").agg(F.array_sort(F.collect_list(F.struct("pos", "line"))).alias("x"))
-    body = body.withColumn("text", strip(F.array_join(F.transform("x", lambda r: r["line"]), "\n"))).filter("text <> ''")
-    nth = F.row_number().over(W.partitionBy("file", "section_idx").orderBy("grp")) - 1
-    return body.select("file", "section_idx", nth.alias("para_idx"), "text")
+    return parsed(files).select("file", "section_idx", F.posexplode("paras").alias("para_idx", "text"))
 
 
 def parents(files: DataFrame) -> DataFrame:
     """(file, section_idx, title, parent_text): a section's paragraphs joined by blank lines; sections without any have no row."""
-    texts = paragraphs(files).groupBy("file", "section_idx").agg(F.array_sort(F.collect_list(F.struct("para_idx", "text"))).alias("x"))
-    texts = texts.select("file", "section_idx", F.array_join(F.transform("x", lambda r: r["text"]), "\n\n").alias("parent_text"))
-    return texts.join(sections(files).select("file", "section_idx", "title"), ["file", "section_idx"])
+    return parsed(files).filter(F.size("paras") > 0).select("file", "section_idx", "title", F.array_join("paras", "\n\n").alias("parent_text"))
 
 
 HTML_RULES = (
