@@ -8,15 +8,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.functions import ids, scoring, text
-from quern.operators import chunking, collections, enrich, markdown, search, stats, views
+from quern.operators import chunking, collections, enrich, headers, ingest, markdown, search, stats, views
 from quern.plans import sql
 from quern.sources import readers
 from quern.sources.shipping import ship
+from quern.streaming.folders import written
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -81,23 +81,34 @@ def item_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.select(F.lit("all").alias("collection"), F.col("item_id").alias("query_id"), text.terms(F.col("text")).alias("tokens"))
 
 
-def weighted(spark: SparkSession, sf_dir: str, p: DataFrame) -> DataFrame:
-    return stats.query_weights(item_queries(spark, sf_dir), stats.corpus_stats(p), stats.term_stats(p))
+def matched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The index of all documents, with the terms that items ask for; written, as statistics and postings both read it."""
+    return written(stats.matched(points(spark, sf_dir, one=True), item_queries(spark, sf_dir)))
+
+
+def weighted(spark: SparkSession, sf_dir: str, index: DataFrame) -> DataFrame:
+    return stats.query_weights(item_queries(spark, sf_dir), stats.corpus_stats(index), stats.term_stats(index))
 
 
 def sparse(spark: SparkSession, sf_dir: str, depth: int = 20) -> DataFrame:
-    p = points(spark, sf_dir, one=True)
-    return search.sparse_topk(stats.postings(p, stats.corpus_stats(p)), weighted(spark, sf_dir, p), depth)
+    index = matched(spark, sf_dir)
+    return search.sparse_topk(stats.postings(index, stats.corpus_stats(index)), weighted(spark, sf_dir, index), depth)
 
 
-#: Which ids are query vectors, as the queries' SQL has it; dense() and _fused() take any other set.
-QUERY_SET = lambda i: i < 5
+def dense_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return readers.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("dense"))
 
 
-def dense(spark: SparkSession, sf_dir: str, depth: int = 20, chosen: Callable[[Column], Column] = QUERY_SET) -> DataFrame:
-    e = readers.table(spark, sf_dir, "embeddings")
-    vectors = e.filter(chosen(F.col("vec_id"))).select(F.col("vec_id").cast("long").alias("query_id"), F.col("embedding").alias("v"))
-    return search.dense_topk(e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("dense")), vectors, depth)
+def dense(spark: SparkSession, sf_dir: str, depth: int = 20) -> DataFrame:
+    """Every vector whose id 100 divides is a query, against all vectors."""
+    e = dense_points(spark, sf_dir)
+    return search.dense_topk(e, e.filter("id % 100 = 0").select(F.col("id").cast("long").alias("query_id"), F.col("dense").alias("v")), depth)
+
+
+def full_queries(spark: SparkSession, sf_dir: str, take: int | None = None) -> DataFrame:
+    """(collection, query_id, tokens, v): every item of the benchmark, its vector that with the same id."""
+    v = dense_points(spark, sf_dir).select(F.col("id").cast("long").alias("query_id"), F.col("dense").alias("v"))
+    return item_queries(spark, sf_dir).join(v, "query_id").select("collection", "query_id", "tokens", "v")
 
 
 W6 = lambda c: F.round(c, 6)
@@ -133,20 +144,20 @@ def corpus_stats(spark, sf_dir):
 
 @query(f"WITH {sql.POINTS} SELECT t.collection, term, round(ln((n + 1.0) / (df + 0.5)), 6) AS idf FROM terms t JOIN stats s ON s.collection = t.collection")
 def idf(spark, sf_dir):
-    p = points(spark, sf_dir)
-    rows = stats.term_stats(p).join(stats.corpus_stats(p), "collection")
+    p = written(stats.indexed(points(spark, sf_dir)))
+    rows = stats.term_stats(p).join(F.broadcast(stats.corpus_stats(p).limit(100_000)), "collection")
     return rows.select("collection", "term", W6(scoring.idf(F.col("n"), F.col("df"))).alias("idf"))
 
 
 @query(f"WITH {sql.POINTS}, {sql.POSTINGS} SELECT collection, point_id, term, tf, dl, round(weight, 6) AS weight FROM postings")
 def tf_norm_postings(spark, sf_dir):
-    p = points(spark, sf_dir)
+    p = written(stats.indexed(points(spark, sf_dir)))
     return stats.postings(p, stats.corpus_stats(p)).select("collection", "point_id", "term", "tf", F.col("dl").cast("long").alias("dl"), W6(F.col("weight")).alias("weight"))
 
 
 @query(f"WITH {sql.ALL_POINTS}, {sql.QUERIES} SELECT query_id, term, tf, round(weight, 6) AS weight FROM qw")
 def query_weights(spark, sf_dir):
-    return weighted(spark, sf_dir, points(spark, sf_dir, one=True)).select("query_id", "term", "tf", W6(F.col("weight")).alias("weight"))
+    return weighted(spark, sf_dir, matched(spark, sf_dir)).select("query_id", "term", "tf", W6(F.col("weight")).alias("weight"))
 
 
 @query(f"WITH {sql.ALL_POINTS} SELECT term, CAST(('0x' || substr(sha1(term), 1, 8))::UBIGINT AS BIGINT) AS idx FROM terms")
@@ -186,15 +197,16 @@ def dense_topk(spark, sf_dir):
     return dense(spark, sf_dir).select("query_id", "id", W6(F.col("score")).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
-def _fused(spark, sf_dir, weights=None, chosen=QUERY_SET):
-    return search.fuse(dense(spark, sf_dir, chosen=chosen), sparse(spark, sf_dir).filter(chosen(F.col("query_id"))), weights)
+def _fused(spark, sf_dir, weights=None):
+    queries = full_queries(spark, sf_dir)
+    return search.fuse(search.dense_topk(dense_points(spark, sf_dir), queries.select("query_id", "v"), 20), sparse(spark, sf_dir), weights)
 
 
 def _fused_columns(df):
     return df.select("query_id", "id", W6(F.col("score")).alias("score"), W6(F.col("rrf_score")).alias("rrf_score"), F.col("position").cast("long").alias("position"))
 
 
-_HYBRID = f"WITH {sql.ALL_POINTS}, {sql.POSTINGS}, {sql.QUERIES}, {sql.SPARSE}, {sql.DENSE}, "
+_HYBRID = f"WITH {sql.ALL_POINTS}, {sql.POSTINGS}, {sql.QUERIES}, {sql.SPARSE}, {sql.ITEM_DENSE}, "
 _FUSED_OUT = " SELECT query_id, id, round(score, 6) AS score, round(rrf_score, 6) AS rrf_score, position FROM fused"
 
 
@@ -203,42 +215,95 @@ def rrf_unweighted(spark, sf_dir):
     return _fused_columns(_fused(spark, sf_dir))
 
 
-def _weights(spark, sf_dir, take: int | None = None):
-    found = F.col("tokens") if take is None else F.slice("tokens", 1, take)
-    w_dense, w_sparse = scoring.hybrid_weights(found)
+def _weights(spark, sf_dir, taken):
+    w_dense, w_sparse = scoring.hybrid_weights(taken(F.col("tokens")))
     return item_queries(spark, sf_dir).select("query_id", w_dense.alias("w_dense"), w_sparse.alias("w_sparse"))
 
 
-@query(_HYBRID + sql.fused("1.0", "1.0") + _FUSED_OUT)
+@query(_HYBRID + sql.fused("CASE WHEN query_id % 2 = 0 THEN 1.0 ELSE 0.8 END", "CASE WHEN query_id % 2 = 0 THEN 1.0 ELSE 1.2 END") + _FUSED_OUT)
 def hybrid_rrf(spark, sf_dir):
-    return _fused_columns(_fused(spark, sf_dir, _weights(spark, sf_dir)))
+    """Every second query is weighted as if it had three terms only."""
+    return _fused_columns(_fused(spark, sf_dir, _weights(spark, sf_dir, lambda t: F.when(F.col("query_id") % 2 == 0, t).otherwise(F.slice(t, 1, 3)))))
 
 
 @query(_HYBRID + sql.fused("0.8", "1.2") + _FUSED_OUT)
 def hybrid_rrf_short_query(spark, sf_dir):
-    return _fused_columns(_fused(spark, sf_dir, _weights(spark, sf_dir, 3)))
+    return _fused_columns(_fused(spark, sf_dir, _weights(spark, sf_dir, lambda t: F.slice(t, 1, 3))))
+
+
+def _parents(spark, sf_dir):
+    """Documents as chunks of seven parents, every fifth without one, with the vectors of the same ids."""
+    parent = F.when(F.col("doc_id") % 5 != 0, F.concat(F.lit("p"), (F.col("doc_id") % 7).cast("string")))
+    d = docs(spark, sf_dir).select(
+        F.col("doc_id").alias("id"), "text", parent.alias("parent_id"), F.coalesce(F.concat(F.lit("parent of "), parent), F.lit("no parent")).alias("parent_text"),
+        F.concat(F.lit("doc_"), F.col("doc_id").cast("string")).alias("filename"), F.format_string("[%d, 9]", F.col("doc_id") % 50).alias("page_numbers"), F.col("lang").alias("title"), F.concat(F.lit("u/"), F.col("doc_id").cast("string")).alias("url"),
+    )
+    return d.join(dense_points(spark, sf_dir), "id", "full")
+
+
+def _searched(spark, sf_dir, reranker=None, settings=None, limit=20):
+    return search.search_documents(_parents(spark, sf_dir), matched(spark, sf_dir), full_queries(spark, sf_dir), limit, settings, reranker)
+
+
+_CHUNKS = """c AS (SELECT coalesce(doc_id, vec_id) AS id, coalesce(text, '') AS text, CASE WHEN doc_id % 5 <> 0 THEN 'p' || (doc_id % 7) END AS parent_id, 'doc_' || doc_id AS filename, CAST(doc_id % 50 AS INT) AS first_page, lang AS title FROM documents FULL JOIN embeddings ON vec_id = doc_id)"""
+_WEIGHTED = sql.fused("CASE WHEN len(q.tokens) <= 3 THEN 0.8 ELSE 1.0 END", "CASE WHEN len(q.tokens) <= 3 THEN 1.2 ELSE 1.0 END").replace("FROM (SELECT query_id, id, score, rank, 0", "FROM (SELECT query_id AS of, tokens FROM q) q JOIN (SELECT query_id, id, score, rank, 0").replace("FROM sparse) GROUP BY", "FROM sparse) ON of = query_id GROUP BY")
+_HITS = _HYBRID + _WEIGHTED + f", {_CHUNKS}, " + """hits AS (SELECT query_id, c.id, score, position, parent_id, text, filename, first_page, title FROM fused JOIN c ON c.id = fused.id WHERE position <= 20),
+    k AS (SELECT *, row_number() OVER (PARTITION BY query_id, parent_id, CASE WHEN parent_id IS NULL THEN id END ORDER BY position) AS nth FROM hits)"""
+
+
+@query(_HITS + """ SELECT query_id, CAST(id AS VARCHAR) AS id, round(score, 6) AS score, position, parent_id, md5(CASE WHEN parent_id IS NULL THEN text ELSE 'parent of ' || parent_id END) AS text_md5, filename, first_page, title FROM k WHERE nth = 1""")
+def search_documents(spark, sf_dir):
+    out = _searched(spark, sf_dir).rows
+    return out.select("query_id", "id", W6(F.col("score")).alias("score"), F.col("position").cast("long").alias("position"), "parent_id", F.md5("text").alias("text_md5"), "filename", F.get("page_numbers", F.lit(0)).alias("first_page"), "title")
+
+
+@query(_HITS + """ SELECT query_id, count(*) AS children_count, count_if(nth = 1) AS parents_count, len(any_value(q.tokens)) > 0 AS hybrid, false AS reranked FROM k JOIN (SELECT query_id, tokens FROM q) q USING (query_id) GROUP BY query_id""")
+def search_envelope(spark, sf_dir):
+    return _searched(spark, sf_dir).envelope
+
+
+def _fixed_reranker(shown: DataFrame) -> DataFrame:
+    """Names every hit at an odd place, the last first, with a relevance that falls in another order."""
+    odd = shown.filter("position % 2 = 1")
+    return odd.select("query_id", (F.lit(100) - F.col("position")).alias("given"), (F.col("position") - 1).alias("index"), (F.lit(1.0) / (F.col("position") % 4 + 1)).alias("relevance"), F.lit("fixed").alias("reason"))
 
 
 @query(
-    _HYBRID + sql.fused("1.0", "1.0") + """, hits AS (SELECT query_id, id, score, position, CASE WHEN id % 5 <> 0 THEN 'p' || (id % 7) END AS parent_id, text FROM fused JOIN documents ON doc_id = id WHERE position <= 20),
-    k AS (SELECT *, row_number() OVER (PARTITION BY query_id, coalesce(parent_id, '#' || id) ORDER BY position) AS nth FROM hits)
-    SELECT query_id, CAST(id AS VARCHAR) AS id, round(score, 6) AS score, position, parent_id, md5(CASE WHEN parent_id IS NULL THEN text ELSE 'parent of ' || parent_id END) AS text_md5 FROM k WHERE nth = 1"""
+    _HITS + """, o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY position DESC) AS place FROM hits WHERE position % 2 = 1),
+    p AS (SELECT *, row_number() OVER (PARTITION BY query_id, parent_id, CASE WHEN parent_id IS NULL THEN id END ORDER BY place) AS first FROM o WHERE place <= 5)
+    SELECT query_id, CAST(id AS VARCHAR) AS id, round(1.0 / (position % 4 + 1), 6) AS score, round(score, 6) AS vector_score, place AS position FROM p WHERE first = 1"""
 )
-def search_documents(spark, sf_dir):
-    parent = F.when(F.col("doc_id") % 5 != 0, F.concat(F.lit("p"), (F.col("doc_id") % 7).cast("string")))
-    d = docs(spark, sf_dir).select(F.col("doc_id").alias("id"), "text", parent.alias("parent_id"), F.concat(F.lit("parent of "), parent).alias("parent_text"))
-    hits = _fused(spark, sf_dir, _weights(spark, sf_dir)).filter("position <= 20").join(d, "id")
-    out = search.dedup_parents(hits, 20)
-    return out.select("query_id", F.col("id").cast("string").alias("id"), W6(F.col("score")).alias("score"), F.col("position").cast("long").alias("position"), "parent_id", F.md5("text").alias("text_md5"))
+def search_documents_reranked(spark, sf_dir):
+    out = _searched(spark, sf_dir, _fixed_reranker, readers.Settings(use_reranker=True), 5).rows
+    return out.select("query_id", "id", W6(F.col("score")).alias("score"), W6(F.col("vector_score")).alias("vector_score"), F.col("position").cast("long").alias("position"))
+
+
+def _described(spark, sf_dir):
+    d = docs(spark, sf_dir)
+    kind = F.when(F.col("doc_id") % 3 == 0, "image/png").when(F.col("doc_id") % 3 == 1, "application/pdf")
+    return d.select(F.concat(F.lit("doc_"), F.col("doc_id").cast("string"), F.when(F.col("doc_id") % 3 == 0, ".png").otherwise(".pdf")).alias("file"), F.col("text").alias("description"), kind.alias("content_type"), F.concat(F.lit("u/"), F.col("doc_id").cast("string")).alias("url"), "doc_id", "lang")
 
 
 @query(
-    _HYBRID + sql.fused("1.0", "1.0") + """, r AS (SELECT doc_id AS id, 'SF-' || doc_id AS index, 'doc_' || doc_id AS filename FROM documents)
-    SELECT query_id, fused.id, index, filename, round(score, 6) AS score, round(rrf_score, 6) AS rrf_score FROM fused JOIN r USING (id) WHERE position <= 5"""
+    _HYBRID.replace("rank <= 20", "rank <= 10") + _WEIGHTED + f", {_CHUNKS}" + """ SELECT query_id, CAST(fused.id AS VARCHAR) AS id, 'SF-' || doc_id AS index, 'doc_' || doc_id AS filename, md5(text) AS text_md5, CASE WHEN doc_id % 3 = 0 THEN 'png' WHEN doc_id IS NOT NULL THEN 'pdf' END AS file_type, CASE WHEN doc_id % 3 = 0 THEN 'u/' || doc_id END AS asset_url,
+    round(score, 6) AS score, round(rrf_score, 6) AS rrf_score FROM fused LEFT JOIN documents ON doc_id = fused.id WHERE position <= 5"""
 )
 def search_sendables(spark, sf_dir):
-    d = docs(spark, sf_dir).select(F.col("doc_id").alias("id"), F.concat(F.lit("SF-"), F.col("doc_id").cast("string")).alias("index"), F.concat(F.lit("doc_"), F.col("doc_id").cast("string")).alias("filename"))
-    return _fused(spark, sf_dir).filter("position <= 5").join(d, "id").select("query_id", "id", "index", "filename", W6(F.col("score")).alias("score"), W6(F.col("rrf_score")).alias("rrf_score"))
+    name = F.col("doc_id").cast("string")
+    d = docs(spark, sf_dir).select(
+        F.col("doc_id").alias("id"), "text", F.concat(F.lit("SF-"), name).alias("index"), F.concat(F.lit("doc_"), name).alias("filename"), F.col("lang").alias("title"), F.concat(F.lit("u/"), name).alias("url"),
+        F.when(F.col("doc_id") % 3 == 0, "png").otherwise("pdf").alias("file_type"), F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("u/"), name)).alias("asset_url"),
+    )
+    out = search.search_sendables(d.join(dense_points(spark, sf_dir), "id", "full"), matched(spark, sf_dir), full_queries(spark, sf_dir), 5)
+    return out.select("query_id", "id", "index", "filename", F.md5("text").alias("text_md5"), "file_type", "asset_url", W6(F.col("score")).alias("score"), W6(F.col("rrf_score")).alias("rrf_score"))
+
+
+@query(
+    """WITH r AS (SELECT *, CASE doc_id % 3 WHEN 0 THEN 'png' ELSE 'pdf' END AS ext FROM documents)
+    SELECT 'sendable_files_' || lang AS collection, CAST(('0x' || substr(sha256(lang || '::sendable::doc_' || doc_id || '.' || ext), 1, 16))::UBIGINT % 9223372036854775808 AS BIGINT) AS id, 'doc_' || doc_id || '.' || ext AS filename, ext AS file_type, CASE WHEN doc_id % 3 = 0 THEN 'u/' || doc_id END AS asset_url FROM r"""
+)
+def described_files(spark, sf_dir):
+    return ingest.described_files(_described(spark, sf_dir), F.col("lang")).select("collection", "id", "filename", "file_type", "asset_url")
 
 
 @query(f"WITH {RECORDS} SELECT id, index, filename, url FROM r WHERE index = 'SF-42'")
@@ -305,19 +370,15 @@ def natural_chunks(spark, sf_dir):
 
 @query()
 def safe_windows(spark, sf_dir):
-    @F.pandas_udf("array<string>")
-    def cut(x: pd.Series) -> pd.Series:
-        return x.map(chunking.paragraph_windows)
-
-    return files(spark, sf_dir).select("file", F.posexplode(cut("md")).alias("window", "text"))
+    return chunking.file_windows(files(spark, sf_dir))
 
 
 @query(
-    "WITH f AS (SELECT doc_id AS file, CAST(n_chars AS INT) AS n FROM documents WHERE n_chars >= 5), k AS (SELECT file, n, unnest(range(0, greatest(0, CAST(ceil((n - 500) / 490.0) AS INT)) + 1)) AS i FROM f) "
+    f"WITH {sql.FILES}, f AS (SELECT file, len(string_split(md, chr(10))) AS n FROM files WHERE len(string_split(md, chr(10))) >= 5), k AS (SELECT file, n, unnest(range(0, greatest(0, CAST(ceil((n - 500) / 490.0) AS INT)) + 1)) AS i FROM f) "
     "SELECT file, CAST(i * 490 AS BIGINT) AS start, CAST(least(i * 490 + 500, n) AS BIGINT) AS \"end\" FROM k"
 )
 def llm_windows(spark, sf_dir):
-    f = docs(spark, sf_dir).select(F.col("doc_id").alias("file"), F.col("n_chars").cast("int").alias("n_lines"))
+    f = files(spark, sf_dir).select("file", F.size(F.split("md", "\n")).alias("n_lines"))
     return chunking.line_windows(f).select("file", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"))
 
 
@@ -342,9 +403,11 @@ def page_numbers_parse(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", F.try_element_at(pages, F.lit(1)).alias("first_page"), F.array_min(pages).alias("least_page"))
 
 
-@query("SELECT page_id, url_decode(url) AS name FROM pages")
+@query("SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'caf' || chr(233) || ' ' || page_id || '+.pdf' ELSE url_decode(url) END AS name FROM pages")
 def decode_filename(spark, sf_dir):
-    return readers.table(spark, sf_dir, "pages").select("page_id", text.decoded_filename("url").alias("name"))
+    """Every third name is UTF-8 that was read as Latin-1, quoted."""
+    broken = F.concat(F.lit("caf%C3%83%C2%A9%20"), F.col("page_id").cast("string"), F.lit("+.pdf"))
+    return readers.table(spark, sf_dir, "pages").select("page_id", text.decoded_filename(F.when(F.col("page_id") % 3 == 0, broken).otherwise(F.col("url"))).alias("name"))
 
 
 @query(f"WITH {RECORDS} SELECT collection, filename, id FROM r WHERE (collection, filename) NOT IN (SELECT (collection, filename) FROM r WHERE id % 2 = 0)")
@@ -372,16 +435,20 @@ def delete_count(spark, sf_dir):
     return collections.delete(records(spark, sf_dir), F.col("filename") == "doc_7")[1]
 
 
+def _signed(spark, sf_dir):
+    """All points added, and every fourth taken again, in one scan."""
+    signs = F.when(F.col("point_id") % 4 == 0, F.array(F.lit(1), F.lit(-1))).otherwise(F.array(F.lit(1)))
+    return points(spark, sf_dir).withColumn("sign", F.explode(signs))
+
+
 @query(f"WITH {sql.POINTS.replace('FROM documents', 'FROM documents WHERE doc_id % 4 <> 0')} SELECT collection, term, df FROM terms")
 def stats_after_delete(spark, sf_dir):
-    p = points(spark, sf_dir)
-    return stats.net_terms(stats.term_deltas(p).unionByName(stats.term_deltas(p.filter("point_id % 4 = 0"), -1)))
+    return stats.net_terms(stats.term_deltas(_signed(spark, sf_dir), F.col("sign")))
 
 
 @query(f"WITH {sql.POINTS.replace('FROM documents', 'FROM documents WHERE doc_id % 4 <> 0')} SELECT c.collection, greatest(coalesce(n, 0), 1) AS n, greatest(coalesce(total_dl, 0), 0) AS total_dl FROM (SELECT DISTINCT 'docling_' || source AS collection FROM documents) c LEFT JOIN stats ON stats.collection = c.collection")
 def corpus_stats_after_delete(spark, sf_dir):
-    p = points(spark, sf_dir)
-    return stats.net_corpus(stats.corpus_deltas(p).unionByName(stats.corpus_deltas(p.filter("point_id % 4 = 0"), -1)))
+    return stats.net_corpus(stats.corpus_deltas(_signed(spark, sf_dir), F.col("sign")))
 
 
 def _split_points(spark, sf_dir):
@@ -412,14 +479,15 @@ def fuzzy_line_match(spark, sf_dir):
 
 
 @query(
-    f"""WITH {sql.DENSE}, h AS (SELECT query_id, id, score, rank AS position FROM dense), w AS (SELECT h.*, CASE WHEN position % 2 = 1 THEN 1.0 / (30 - position) END AS rel FROM h),
-    o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rel DESC, position) AS place FROM w WHERE rel IS NOT NULL)
-    SELECT query_id, id, round(rel, 6) AS score, round(rel, 6) AS rerank_score, round(score, 6) AS vector_score, place FROM o WHERE place <= 5"""
+    f"""WITH {sql.DENSE}, h AS (SELECT query_id, id, score, rank AS position FROM dense), w AS (SELECT h.*, CASE WHEN position % 5 <> 0 THEN 1.0 / (30 - position) END AS rel FROM h),
+    o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY position % 3, position) AS place FROM w WHERE position % 2 = 1)
+    SELECT query_id, id, round(coalesce(rel, 0), 6) AS score, round(coalesce(rel, 0), 6) AS rerank_score, round(score, 6) AS vector_score, place FROM o WHERE place <= 5"""
 )
 def rerank_apply(spark, sf_dir):
     hits = dense(spark, sf_dir).withColumnRenamed("rank", "position")
-    given = hits.filter("position % 2 = 1").select("query_id", (F.col("position") - 1).alias("index"), (F.lit(1.0) / (30 - F.col("position"))).alias("relevance"), F.lit("fixed").alias("reason"))
-    beyond = hits.select("query_id", F.lit(99).alias("index"), F.lit(2.0).alias("relevance"), F.lit("beyond").alias("reason")).distinct()
+    place = (F.col("position") % 3 * 100 + F.col("position")).alias("given")  # the provider's order, which isn't that of relevance
+    given = hits.filter("position % 2 = 1").select("query_id", place, (F.col("position") - 1).alias("index"), F.when(F.col("position") % 5 != 0, F.lit(1.0) / (30 - F.col("position"))).alias("relevance"), F.lit("fixed").alias("reason"))
+    beyond = hits.select("query_id", F.lit(0).alias("given"), F.lit(99).alias("index"), F.lit(2.0).alias("relevance"), F.lit("beyond").alias("reason")).distinct()
     out = search.apply_rankings(hits, given.unionByName(beyond), 5)
     return out.select("query_id", "id", W6(F.col("score")).alias("score"), W6(F.col("rerank_score")).alias("rerank_score"), W6(F.col("vector_score")).alias("vector_score"), F.col("place").cast("long").alias("place"))
 
@@ -438,6 +506,20 @@ def collection_check(spark, sf_dir):
     return collections.check(_vectors(spark, sf_dir), 64)
 
 
+_CHECKED = """v AS (SELECT CASE label % 3 WHEN 0 THEN 'docling_' WHEN 1 THEN 'sendable_files_' ELSE 'other_' END || label AS collection, CASE WHEN label % 2 = 0 THEN len(embedding) END AS d FROM embeddings),
+    ch AS (SELECT collection, max(d) AS dims FROM v WHERE NOT starts_with(collection, 'other_') GROUP BY collection)"""
+
+
+@query(f"WITH {_CHECKED} SELECT count(*) AS collections, count_if(dims = 64) AS ok, count_if(dims <> 64) AS mismatched, count_if(dims IS NULL) AS unknown FROM ch")
+def check_totals(spark, sf_dir):
+    return collections.totals(collections.check(_vectors(spark, sf_dir), 64))
+
+
+@query(f"WITH {_CHECKED} SELECT collection FROM ch WHERE dims IS DISTINCT FROM 64")
+def mismatched_collections(spark, sf_dir):
+    return collections.mismatched(_vectors(spark, sf_dir), 64)
+
+
 @query("SELECT CASE label % 3 WHEN 0 THEN 'docling_' WHEN 1 THEN 'sendable_files_' ELSE 'other_' END || label AS collection, vec_id AS id FROM embeddings")
 def reindex_backup(spark, sf_dir):
     return collections.backup(_vectors(spark, sf_dir))
@@ -457,10 +539,10 @@ def html_markdown(spark, sf_dir):
     return readers.table(spark, sf_dir, "pages").select("page_id", markdown.html_to_markdown(F.col("html")).alias("md"))
 
 
-@query("SELECT conv_id, turn, lower(trim(role)) IN ('1', 'true', 'yes', 'y', 'on', 'user') AND role <> 'user' AS flag, greatest(1, length(text) // 4) <= 20 AS short FROM conversations")
+@query("SELECT conv_id, turn, CASE WHEN turn % 5 = 4 THEN true ELSE turn % 5 < 2 END AS flag, greatest(1, length(text) // 4) <= 20 AS short FROM conversations")
 def bool_settings(spark, sf_dir):
     c = readers.table(spark, sf_dir, "conversations")
-    return c.select("conv_id", "turn", text.truthy(F.col("role"), False).alias("flag"), (text.token_count(F.col("text")) <= 20).alias("short"))
+    return c.select("conv_id", "turn", text.truthy(F.get(F.array(*map(F.lit, (" Yes ", "ON", "off", "2", None))), (F.col("turn") % 5).cast("int")), True).alias("flag"), (text.token_count(F.col("text")) <= 20).alias("short"))
 
 
 @query("SELECT conv_id, turn, 'event: ' || role || chr(10) || 'data: {\"turn\":' || turn || '}' || chr(10) || chr(10) AS frame FROM conversations")
@@ -475,6 +557,204 @@ def model_inputs(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", F.md5(text.dense_input(title, F.col("text"))).alias("dense"), F.md5(text.sparse_input(title, F.col("text"))).alias("sparse"))
 
 
+@query(f"WITH d AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{N}}]+') AS w FROM documents) SELECT doc_id, CAST(len(list_filter(w, lambda x: length(x) >= 2 OR regexp_matches(x, '^\\p{{Nd}}$'))) AS BIGINT) AS n, md5(array_to_string(list_filter(w, lambda x: length(x) >= 2 OR regexp_matches(x, '^\\p{{Nd}}$')), ' ')) AS digest FROM d")
+def legacy_tokens(spark, sf_dir):
+    found = text.legacy_terms(F.col("text"))
+    return docs(spark, sf_dir).select("doc_id", F.size(found).cast("long").alias("n"), F.md5(F.array_join(found, " ")).alias("digest"))
+
+
+@query(r"""WITH t AS (SELECT doc_id, unnest(list_filter(regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+'), lambda x: length(x) >= 2 OR regexp_matches(x, '^\p{Nd}$'))) AS term FROM documents)
+    SELECT doc_id, CAST(('0x' || substr(sha1(term), 1, 8))::UBIGINT AS BIGINT) AS idx, count(*) AS value FROM t GROUP BY doc_id, term""")
+def legacy_vector(spark, sf_dir):
+    """Raw term frequencies by term index."""
+    rows = docs(spark, sf_dir).select("doc_id", F.inline(text.counted(text.legacy_terms(F.col("text")))))
+    return rows.select("doc_id", ids.term_index(F.col("term")).alias("idx"), F.col("tf").cast("long").alias("value"))
+
+
+@query("SELECT doc_id, CAST(len(string_split(text, ' ')) AS INT) AS n FROM documents")
+def tokenizer_seam(spark, sf_dir):
+    """Token counts by a tokenizer that is passed in."""
+    count = text.tokenizer(lambda: lambda t: t.count(" ") + 1)
+    return docs(spark, sf_dir).select("doc_id", text.token_count(F.col("text"), count).alias("n"))
+
+
+@query(f"WITH {sql.DENSE} SELECT query_id, md5(string_agg((rank - 1) || ':' || substr(text, 1, 300), '|' ORDER BY rank)) AS entries FROM dense JOIN documents ON doc_id = id GROUP BY query_id")
+def rerank_chat_inputs(spark, sf_dir):
+    hits = dense(spark, sf_dir).withColumnRenamed("rank", "position").join(docs(spark, sf_dir).select(F.col("doc_id").alias("id"), "text"), "id")
+    # Places count from the query's list, so hits without a text leave gaps in them.
+    out = search.chat_inputs(hits).select("query_id", F.transform("entries", lambda e: F.concat_ws(":", e["index"], e["preview"])).alias("x"))
+    return out.select("query_id", F.md5(F.array_join("x", "|")).alias("entries"))
+
+
+@query(f"WITH {sql.DENSE} SELECT query_id, md5(string_agg('Title: ' || lang || chr(10) || chr(10) || text, '|' ORDER BY rank)) AS documents, CAST(least(7, count(*)) AS INT) AS top_n FROM dense JOIN documents ON doc_id = id GROUP BY query_id")
+def rerank_api_inputs(spark, sf_dir):
+    hits = dense(spark, sf_dir).withColumnRenamed("rank", "position").join(docs(spark, sf_dir).select(F.col("doc_id").alias("id"), "text", F.col("lang").alias("title")), "id")
+    return search.api_inputs(hits, 7).select("query_id", F.md5(F.array_join("documents", "|")).alias("documents"), "top_n")
+
+
+@query(
+    """SELECT conv_id * 1000 + turn AS query_id, given, CAST(turn % 9 + given AS INT) AS index, CASE given WHEN 0 THEN 0.5 WHEN 1 THEN 0.25 END AS relevance
+    FROM conversations, (SELECT unnest([0, 1, 2]) AS given) WHERE turn % 4 <> 3"""
+)
+def rankings_of_answers(spark, sf_dir):
+    """Answers with relevance_score, with score, and with neither; every fourth can't be read."""
+    good = F.format_string('{"rankings": [{"index": %d, "relevance_score": 0.5, "score": 0.9}, {"index": %d, "score": 0.25}, {"index": %d}, {"score": 1.0}]}', F.col("turn") % 9, F.col("turn") % 9 + 1, F.col("turn") % 9 + 2)
+    c = readers.table(spark, sf_dir, "conversations")
+    answers = c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), F.when(F.col("turn") % 4 == 3, F.lit("sorry")).otherwise(good).alias("answer"))
+    return search.rankings_of(answers).select("query_id", "given", "index", "relevance")
+
+
+_WINDOWS = f"""{sql.FILES}, f AS (SELECT file, string_split(md, chr(10)) AS a FROM files WHERE len(string_split(md, chr(10))) >= 5),
+    w AS (SELECT file, a, unnest(range(0, greatest(0, CAST(ceil((len(a) - 500) / 490.0) AS INT)) + 1)) * 490 AS start FROM f)"""
+
+
+@query(f"WITH {_WINDOWS} SELECT file, start, least(start + 500, len(a)) AS \"end\", md5(array_to_string(a[start + 1 : start + 500], chr(10))) AS text_md5 FROM w")
+def header_windows(spark, sf_dir):
+    out = headers.windows(files(spark, sf_dir))
+    return out.select("file", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), F.md5("text").alias("text_md5"))
+
+
+def _third_line(asked: DataFrame) -> DataFrame:
+    """Proposes each window's third line, one line too early; its first words are the snippet."""
+    line = F.get(F.split("text", "\n"), F.lit(2))
+    return asked.select("file", "start", (F.col("start") + 2).cast("int").alias("line"), line.alias("snippet"), F.concat(F.lit("T"), F.col("start").cast("string")).alias("title"), F.lit(0.9).alias("confidence"))
+
+
+@query(
+    f"""WITH {_WINDOWS}, p AS (SELECT file, start + 2 AS pos, start FROM w),
+    l AS (SELECT file, unnest(range(0, len(a))) AS pos, unnest(a) AS line FROM (SELECT file, string_split(md, chr(10)) AS a FROM files)),
+    o AS (SELECT l.*, start FROM l LEFT JOIN p USING (file, pos))
+    SELECT file, md5(string_agg(CASE WHEN start IS NOT NULL AND regexp_matches(line, '\\S') AND NOT starts_with(trim(line), '#') THEN chr(10) || '## T' || start || chr(10) || chr(10) || line ELSE line END, chr(10) ORDER BY pos)) AS md FROM o GROUP BY file"""
+)
+def inject_headers(spark, sf_dir):
+    """The line proposed is blank or another one, so each header goes to the line that its snippet is most like."""
+    return headers.inject_headers(files(spark, sf_dir), _third_line).select("file", F.md5("md").alias("md"))
+
+
+@query(
+    f"""WITH {sql.FILES}, {sql.LINES}, n AS (SELECT pt.file, pt.section_idx, title, parent_text, row_number() OVER (PARTITION BY pt.file ORDER BY pt.section_idx) AS nth FROM pt JOIN secs s ON s.file = pt.file AND s.section_idx = pt.section_idx)
+    SELECT file, section_idx, title, CASE WHEN section_idx % 4 <> 1 THEN md5(parent_text) END AS insight FROM n WHERE nth <= 12"""
+)
+def section_insights(spark, sf_dir):
+    answer = lambda asked: asked.filter("section_idx % 4 <> 1").select("file", "section_idx", F.md5("text").alias("insight"))
+    out = headers.section_insights(markdown.parents(files(spark, sf_dir)), answer, 12)
+    return out.select("file", F.col("section_idx").cast("long").alias("section_idx"), "title", "insight")
+
+
+@query(
+    f"""WITH {sql.FILES}, {sql.LINES}, c AS (SELECT pt.file, row_number() OVER (PARTITION BY pt.file ORDER BY pt.section_idx) - 1 AS chunk_idx, title, parent_text FROM pt JOIN secs s ON s.file = pt.file AND s.section_idx = pt.section_idx)
+    SELECT 'docling_acme' AS collection, CAST(('0x' || substr(sha256('acme::' || file || '::' || chunk_idx), 1, 16))::UBIGINT % 9223372036854775808 AS BIGINT) AS id, CAST(file AS VARCHAR) AS filename, title,
+    substr(md5(coalesce(title, '') || ':' || parent_text), 1, 16) AS parent_id, md5(parent_text) AS text_md5, CAST(len({sql.TERMS.replace("coalesce(text, '')", "CASE WHEN title <> '' THEN title || '. ' || parent_text ELSE parent_text END")}) AS BIGINT) AS n_tokens FROM c"""
+)
+def ingest_points(spark, sf_dir):
+    """Files of which no section is too long, so every section is one chunk."""
+    chunks = ingest.smart_chunks(files(spark, sf_dir), 10_000_000)
+    p = ingest.points_of(chunks, F.lit("docling_acme"), F.lit("acme"))
+    return p.select("collection", "id", "filename", "title", "parent_id", F.md5("text").alias("text_md5"), F.size("tokens").cast("long").alias("n_tokens"))
+
+
+def _put(spark, sf_dir, allow):
+    r = records(spark, sf_dir).select("collection", "id", "filename", "text")
+    new = r.filter("id % 6 = 0").withColumn("id", F.col("id") + 1_000_000).withColumn("text", F.lit("new"))
+    more = r.filter("id % 50 = 7").select("collection", (F.col("id") + 2_000_000).alias("id"), F.concat(F.lit("more_"), F.col("filename")).alias("filename"), "text")
+    return collections.put_files(r, new.unionByName(more), allow)
+
+
+_PUT = f"""{RECORDS}, n AS (SELECT collection, id + 1000000 AS id, filename, 'new' AS text FROM r WHERE id % 6 = 0), m AS (SELECT collection, id + 2000000 AS id, 'more_' || filename AS filename, text FROM r WHERE id % 50 = 7)"""
+
+
+@query(f"WITH {_PUT} SELECT collection, id, filename, md5(text) AS text_md5 FROM r WHERE (collection, filename) NOT IN (SELECT (collection, filename) FROM n) UNION ALL SELECT collection, id, filename, md5(text) FROM n UNION ALL SELECT collection, id, filename, md5(text) FROM m")
+def put_files_update(spark, sf_dir):
+    return _put(spark, sf_dir, True).points.select("collection", "id", "filename", F.md5("text").alias("text_md5"))
+
+
+@query(f"WITH {_PUT} SELECT collection, id, sign FROM (SELECT collection, id, -1 AS sign FROM r WHERE (collection, filename) IN (SELECT (collection, filename) FROM n) UNION ALL SELECT collection, id, 1 FROM n UNION ALL SELECT collection, id, 1 FROM m)")
+def put_files_signs(spark, sf_dir):
+    return _put(spark, sf_dir, True).signed.select("collection", "id", "sign")
+
+
+@query(f"WITH {_PUT} SELECT DISTINCT collection, filename FROM n")
+def put_files_rejected(spark, sf_dir):
+    return _put(spark, sf_dir, False).rejected
+
+
+@query(f"WITH {RECORDS} SELECT collection, id, CASE WHEN id % 10 = 0 THEN 'third' ELSE md5(text) END AS text FROM r")
+def upsert_last_wins(spark, sf_dir):
+    r = records(spark, sf_dir).select("collection", "id", F.md5("text").alias("text"), F.lit(0).alias("seq"))
+    new = r.filter("id % 10 = 0").withColumn("x", F.explode(F.array(F.struct(F.lit(2).alias("seq"), F.lit("second").alias("text")), F.struct(F.lit(3).alias("seq"), F.lit("third").alias("text")))))
+    return collections.upsert(r, new.select("collection", "id", "x.text", "x.seq"), F.col("seq")).drop("seq")
+
+
+@query(f"WITH {RECORDS} SELECT collection, id FROM r WHERE index <> 'SF-7'")
+def delete_one_record(spark, sf_dir):
+    return collections.delete_one(records(spark, sf_dir), index="SF-7").select("collection", "id")
+
+
+@query("SELECT doc_id AS id, CASE doc_id WHEN 7 THEN 'described anew' ELSE md5(text) END AS text FROM documents")
+def update_one_description(spark, sf_dir):
+    r = records(spark, sf_dir).withColumn("filename", F.concat(F.lit("f"), F.col("id").cast("string"))).withColumn("text", F.md5("text"))
+    return collections.update_description(r, "f7", "described anew").select("id", "text")
+
+
+@query("SELECT vec_id AS id FROM embeddings")
+def validate_collection(spark, sf_dir):
+    return collections.validate(dense_points(spark, sf_dir).withColumn("collection", F.lit("c")), 64).select("id")
+
+
+@query(f"WITH {RECORDS} SELECT collection, id FROM r WHERE collection <> 'docling_web'")
+def recreate_collection(spark, sf_dir):
+    return collections.recreate(records(spark, sf_dir), "docling_web").select("collection", "id")
+
+
+@query(f"WITH {sql.POINTS} SELECT stats.collection, n, CAST(count(*) AS BIGINT) AS n_terms FROM stats JOIN terms ON terms.collection = stats.collection WHERE stats.collection <> 'docling_web' GROUP BY stats.collection, n")
+def stats_reset(spark, sf_dir):
+    p = written(stats.indexed(points(spark, sf_dir)))
+    corpus, terms = stats.reset(stats.corpus_stats(p), stats.term_stats(p), "docling_web")
+    return corpus.join(terms.groupBy("collection").agg(F.count(F.lit(1)).alias("n_terms")), "collection").select("collection", "n", "n_terms")
+
+
+def _reindexed(spark, sf_dir):
+    one = docs(spark, sf_dir).select(F.lit("c").alias("collection"), F.col("doc_id").alias("id"), "text", F.when(F.col("doc_id") % 2 == 0, F.col("lang")).alias("title"), F.array(F.lit(1.0)).alias("dense"))
+    other = one.limit(1).withColumn("collection", F.lit("d"))
+    return collections.reindex_collection(one.unionByName(other), "c", 2, lambda batch: [[float(len(t)), float(t.startswith("Title: "))] for t in batch])
+
+
+@query("SELECT doc_id AS id, CAST(length(text) + CASE WHEN doc_id % 2 = 0 THEN 9 + length(lang) ELSE 0 END AS DOUBLE) AS x, CASE WHEN doc_id % 2 = 0 OR starts_with(text, 'Title: ') THEN 1.0 ELSE 0.0 END::DOUBLE AS y FROM documents")
+def reindex_job(spark, sf_dir):
+    """A collection whose vectors have one dimension gets vectors of two, in batches of 50."""
+    return _reindexed(spark, sf_dir).points.filter("collection = 'c'").select("id", F.get("dense", F.lit(0)).alias("x"), F.get("dense", F.lit(1)).alias("y"))
+
+
+@query(f"WITH d AS (SELECT CASE WHEN doc_id % 2 = 0 THEN lang || '. ' || text ELSE text END AS text FROM documents) SELECT 'c' AS collection, count(*) AS n, CAST(sum(len({sql.TERMS})) AS BIGINT) AS total_dl FROM d")
+def reindex_stats(spark, sf_dir):
+    return _reindexed(spark, sf_dir).corpus.select("collection", "n", "total_dl")
+
+
+def _first_rung(name, content, options):
+    if int(name) % 3:
+        raise OSError("busy")
+    return f"first {options.formulas} {len(content)}"
+
+
+def _second_rung(name, content, options):
+    if int(name) % 3 == 2:
+        raise ValueError("not this one")
+    return f"second {options.formulas} {len(content)}"
+
+
+@query("SELECT CAST(page_id AS VARCHAR) AS filename, CASE page_id % 3 WHEN 0 THEN 'first True ' || octet_length(encode(html)) WHEN 1 THEN 'second False ' || octet_length(encode(html)) END AS md, CASE page_id % 3 WHEN 2 THEN 'ValueError: not this one' END AS error FROM pages")
+def converter_ladder(spark, sf_dir):
+    """Three tries of one converter, one of another that is asked without formulas; what neither converts is an error row."""
+    f = readers.table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("filename"), F.col("html").cast("binary").alias("content"))
+    return readers.converted_by(f, readers.ladder(_first_rung, _second_rung, wait=0.0, pause=0.0))
+
+
+@query("SELECT page_id, page_id % 3 = 0 AS image FROM pages")
+def image_rule(spark, sf_dir):
+    kind = F.get(F.array(F.lit("image/png"), F.lit("text/html"), F.lit(None)), (F.col("page_id") % 3).cast("int"))
+    return readers.table(spark, sf_dir, "pages").select("page_id", text.is_image(kind).alias("image"))
+
+
 @query(f"WITH {sql.POINTS} SELECT collection, greatest(n, 1) AS n, total_dl FROM stats")
 def stream_stats_equals_batch(spark, sf_dir):
     from quern.streaming import ingest

@@ -34,15 +34,22 @@ qw AS (SELECT x.collection, query_id, x.term, x.tf, x.tf * ln((s.n + 1.0) / (coa
 SPARSE = """sparse AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM (
   SELECT query_id, point_id AS id, round(sum(p.weight * qw.weight), 9) AS score FROM postings p JOIN qw ON qw.collection = p.collection AND qw.term = p.term GROUP BY ALL)) WHERE rank <= 20)"""
 
-DENSE = """vq AS (SELECT vec_id AS query_id, embedding AS v FROM embeddings WHERE vec_id < 5),
+
+def _dense(chosen: str) -> str:
+    return f"""vq AS (SELECT vec_id AS query_id, embedding AS v FROM embeddings WHERE {chosen}),
 dense AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM (
   SELECT query_id, vec_id AS id, list_sum(list_transform(list_zip(embedding, v), lambda x: CAST(x[1] AS DOUBLE) * CAST(x[2] AS DOUBLE))) AS score FROM embeddings, vq)) WHERE rank <= 20)"""
 
 
+#: Query vectors: those whose id 100 divides; or, for searches that fuse, one for each item of the benchmark.
+DENSE = _dense("vec_id % 100 = 0")
+ITEM_DENSE = _dense("vec_id IN (SELECT item_id FROM benchmark)")
+
+
 def fused(w_dense: str, w_sparse: str) -> str:
     return f"""fused AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(rrf_score, 12) DESC, first.list, first.rank) AS position FROM (
   SELECT query_id, id, arg_min(score, list) AS score, sum(CASE list WHEN 0 THEN {w_dense} ELSE {w_sparse} END / (60 + rank)) AS rrf_score, min({{'list': list, 'rank': rank}}) AS first
-  FROM (SELECT query_id, id, score, rank, 0 AS list FROM dense UNION ALL SELECT query_id, id, score, rank, 1 AS list FROM sparse WHERE query_id < 5) GROUP BY query_id, id))"""
+  FROM (SELECT query_id, id, score, rank, 0 AS list FROM dense UNION ALL SELECT query_id, id, score, rank, 1 AS list FROM sparse) GROUP BY query_id, id))"""
 
 
 #: Files of ten documents each, every document under a heading, its lines in three paragraphs and a fence.
