@@ -43,16 +43,21 @@ def test_fuse(spark, weights, expected):
 def test_dedup_parents(spark):
     rows = [(1, i, p, f"t{i}", f"parent {p}" if p else None, i) for i, p in ((1, "P"), (2, "Q"), (3, "P"), (4, None), (5, None))]
     df = spark.createDataFrame(rows, "query_id long, id long, parent_id string, text string, parent_text string, position int")
+    df = df.withColumn("parent_text", F.coalesce("parent_text", F.lit("of nobody")))  # a hit without a parent keeps its text
     out = search.dedup_parents(df, 4).orderBy("position").collect()
     assert [(r.id, r.text) for r in out] == [(1, "parent P"), (2, "parent Q"), (4, "t4")]
 
 
 def test_rankings_fail_open(spark):
     h = spark.createDataFrame([(1, 10, 0.9, 1), (1, 11, 0.8, 2)], "query_id long, id long, score double, position int")
-    none = spark.createDataFrame([], "query_id long, index int, relevance double, reason string")
+    kind = "query_id long, given int, index int, relevance double, reason string"
+    none = spark.createDataFrame([], kind)
     assert [r.id for r in search.apply_rankings(h, none, 2).orderBy("place").collect()] == [10, 11]
-    given = spark.createDataFrame([(1, 1, 0.7, "x"), (1, 5, 0.9, "beyond")], "query_id long, index int, relevance double, reason string")
+    given = spark.createDataFrame([(1, 0, 1, 0.7, "x"), (1, 1, 5, 0.9, "beyond")], kind)
     assert [(r.id, r.vector_score) for r in search.apply_rankings(h, given, 2).collect()] == [(11, 0.8)]
+    # The provider's order counts, not that of relevance; none given counts as 0; the first of two counts.
+    given = spark.createDataFrame([(1, 0, 1, None, "x"), (1, 1, 0, 0.9, "y"), (1, 2, 1, 0.99, "z")], kind)
+    assert [(r.id, r.score) for r in search.apply_rankings(h, given, 2).orderBy("place").collect()] == [(11, 0.0), (10, 0.9)]
 
 
 @pytest.mark.parametrize(
