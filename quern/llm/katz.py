@@ -5,6 +5,8 @@ them. A block asks each part of the word table for its words' counts, then each
 table for its bigrams, sending every distinct one once with its count in the block's training texts;
 the part adds these up to the corpus's counts and answers in the order asked. So no table is ever
 held whole by a task, hot words weigh one entry a block, and what is exchanged grows with the corpus.
+Bigrams go by their history, so its sums are made where they are; those of histories with a fixed
+share of all tokens go by history and follower, and their sums, few by that share, are added up.
 The model's tables stay as Parquet files by part. Each token is scored recursively: the discounted
 bigram if it was seen, else the history's backoff weight times the discounted word, and for a word
 never seen the mass that the words' discounts left.
@@ -26,10 +28,12 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import WordHashes, materialize, mix, new_path, read_range, reclaim, shuffle_parts, text_bytes, write_file
+from quern.llm.common import WordHashes, map_arrow, materialize, mix, new_path, read_range, reclaim, shuffle_parts, text_bytes, write_file
 
 #: Counts above this are not discounted; tokens in a block.
-MOST, BLOCK_TOKENS = 5, 6_000_000
+MOST, BLOCK_TOKENS = 5, 2_500_000
+#: Tokens for which there is one part at least, of words or bigrams.
+PART_TOKENS = 4_000_000
 #: The end of a text, counted as a token, and the place before its first; no word has these hashes.
 END, START = 1, 0
 _LOW48 = np.uint64((1 << 48) - 1)
@@ -137,7 +141,7 @@ def _blocks(docs: DataFrame) -> DataFrame:
             yield flush()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), training().alias("train"), F.col("text").cast("string").alias("text"))
-    return materialize(rows.mapInArrow(run, _BLOCKS), "blocks")
+    return materialize(map_arrow(rows, run, _BLOCKS), "blocks")
 
 
 class _Block:
@@ -152,15 +156,21 @@ class _Block:
     def word_parts(self, parts: int) -> np.ndarray:
         return (mix(self.words) % np.uint64(parts)).astype(np.int64)
 
-    def bigrams(self, parts: int) -> tuple[np.ndarray, ...]:
-        """History and word of each distinct bigram (len(words) is the start), its part, and each token's bigram."""
+    def bigrams(self, parts: int, counts: np.ndarray, tokens: int) -> tuple[np.ndarray, ...]:
+        """History and word of each distinct bigram (len(words) is the start), its part, each token's bigram, the histories' names, and which are spread.
+
+        ``counts`` has the words' counts in the corpus. Spread are the start and the histories with more than
+        tokens / (4 * parts), so fewer than 4 * parts + 1.
+        """
         before = np.concatenate([[len(self.words)], self.tokens[:-1]])
         before[np.cumsum(self.sizes)[:-1]] = len(self.words)
         base = len(self.words) + 1
         pair, at = np.unique(before * base + self.tokens, return_inverse=True)
         h, w = pair // base, pair % base
         names = np.append(self.words, np.uint64(START))
-        return h, w, (mix(names[h] + np.uint64(77)) % np.uint64(parts)).astype(np.int64), at, names
+        spread = np.append(counts * 4 * parts > tokens, True)
+        key = np.where(spread[h], mix(names[h] + np.uint64(77)) ^ mix(self.words[w] + np.uint64(5)), names[h] + np.uint64(77))
+        return h, w, (mix(key) % np.uint64(parts)).astype(np.int64), at, names, spread
 
 
 def _ask_words(blocks: DataFrame, parts: int) -> DataFrame:
@@ -174,11 +184,11 @@ def _ask_words(blocks: DataFrame, parts: int) -> DataFrame:
                     mine = part == p
                     yield pa.RecordBatch.from_pylist([{"p": p, "block": b.id, "words": packed(b.words[mine]), "counts": packed(counts[mine])}])
 
-    return blocks.mapInArrow(run, "p long, block long, words binary, counts binary")
+    return map_arrow(blocks, run, "p long, block long, words binary, counts binary")
 
 
-_ANSWERS = "block long, p long, answer binary, sums array<long>, path string"
-_KIND = pa.schema([("block", pa.int64()), ("p", pa.int64()), ("answer", pa.binary()), ("sums", pa.list_(pa.int64())), ("path", pa.string())])
+_ANSWERS = "block long, p long, answer binary, sums array<long>, path string, spread binary"
+_KIND = pa.schema([("block", pa.int64()), ("p", pa.int64()), ("answer", pa.binary()), ("sums", pa.list_(pa.int64())), ("path", pa.string()), ("spread", pa.binary())])
 
 
 def _of_counts(c: np.ndarray) -> list[int]:
@@ -203,9 +213,9 @@ def _answer_words(asked: DataFrame, folder: str) -> DataFrame:
         path = _save(folder, p, pa.table({"word": known[c > 0], "n": c[c > 0]}))
         rows, begin = [], 0
         for block, w in zip(t.column("block").to_pylist(), words, strict=True):
-            rows.append({"block": block, "p": p, "answer": packed(c[at[begin : begin + len(w)]].astype(np.uint32)), "sums": None, "path": None})
+            rows.append({"block": block, "p": p, "answer": packed(c[at[begin : begin + len(w)]].astype(np.uint32)), "sums": None, "path": None, "spread": None})
             begin += len(w)
-        rows.append({"block": -1, "p": p, "answer": None, "sums": [int(c.sum()), int((c > 0).sum()), *_of_counts(c)], "path": path})
+        rows.append({"block": -1, "p": p, "answer": None, "sums": [int(c.sum()), int((c > 0).sum()), *_of_counts(c)], "path": path, "spread": None})
         return pa.Table.from_pylist(rows, _KIND)
 
     return asked.groupBy("p").applyInArrow(run, _ANSWERS)
@@ -227,14 +237,14 @@ def _filed(answers: DataFrame, folder: str) -> DataFrame:
                 w.write_table(made)
             path = f"{folder}/{at}-{uuid.uuid4().hex}.arrow"
             write_file(path, sink.getvalue().to_pybytes())
-            return [{"block": at, "path": path, "sums": None}]
+            return [{"block": at, "path": path, "sums": None, "spread": None}]
 
-        kind = pa.schema([("block", pa.int64()), ("path", pa.string()), ("sums", pa.list_(pa.int64()))])
+        kind = pa.schema([("block", pa.int64()), ("path", pa.string()), ("sums", pa.list_(pa.int64())), ("spread", pa.binary())])
         for batch in batches:
             rows = []
             for r in batch.to_pylist():
                 if r["block"] < 0:
-                    rows.append({"block": r["block"], "path": r["path"], "sums": r["sums"]})
+                    rows.append({"block": r["block"], "path": r["path"], "sums": r["sums"], "spread": r["spread"]})
                     continue
                 if r["block"] != at:
                     rows += flush()
@@ -245,7 +255,7 @@ def _filed(answers: DataFrame, folder: str) -> DataFrame:
 
     salted = answers.withColumn("salt", F.when(F.col("block") < 0, F.col("p")))
     dealt = salted.repartition(shuffle_parts(spark), "block", "salt").sortWithinPartitions("block", "p")
-    return materialize(dealt.select("block", "p", "answer", "sums", "path").mapInArrow(run, "block long, path string, sums array<long>"), "answers")
+    return materialize(map_arrow(dealt.select("block", "p", "answer", "sums", "path", "spread"), run, "block long, path string, sums array<long>, spread binary"), "answers")
 
 
 def _sums(filed: DataFrame, n: int) -> list[int]:
@@ -253,6 +263,21 @@ def _sums(filed: DataFrame, n: int) -> list[int]:
     return [int(x) for x in one]
 
 
+def _spread(filed: DataFrame) -> dict[int, np.ndarray]:
+    """For each spread history its tokens, mass and followers by count; parts times a bounded number of histories come to the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for packed_sums in batch.column("spread").to_pylist():
+                x = unpacked(packed_sums, "<f8").reshape(MOST + 3, -1)
+                yield pa.RecordBatch.from_arrays([pa.array(x[0].view(np.int64)), *(pa.array(v) for v in x[1:])], ["name", *sums])
+
+    sums = [f"s{k}" for k in range(MOST + 2)]
+    rows = map_arrow(filed.filter("spread IS NOT NULL").select("spread"), run, ", ".join(["name long", *(f"{c} double" for c in sums)]))
+    # Rounded, as the order of adding doubles must not show.
+    return {r[0] % (1 << 64): np.array(r[1:]) for r in rows.groupBy("name").agg(*(F.round(F.sum(c), 12).alias(c) for c in sums)).collect()}
+
+
 def _read(path: str) -> dict[int, bytes]:
     table = pa.ipc.open_stream(pa.py_buffer(read_range(path))).read_all()
     return dict(zip(table.column("p").to_pylist(), table.column("answer").to_pylist(), strict=True))
@@ -273,7 +298,7 @@ def _ask_bigrams(blocks: DataFrame, words: Words, parts: int) -> DataFrame:
             for row in batch.to_pylist():
                 b = _Block(row)
                 c = _word_counts(b, row["words_path"], parts)
-                h, w, part, at, names = b.bigrams(parts)
+                h, w, part, at, names, spread = b.bigrams(parts, c, words.tokens)
                 n = np.bincount(at[b.learned], minlength=len(h)).astype(np.uint32)
                 order = np.argsort(part, kind="stable")
                 ends = np.cumsum(np.bincount(part, minlength=parts))
@@ -289,6 +314,7 @@ def _ask_bigrams(blocks: DataFrame, words: Words, parts: int) -> DataFrame:
                                     "p": p,
                                     "block": b.id,
                                     "histories": packed(names[h[k][heads]]),
+                                    "spread": packed(spread[h[k][heads]].view(np.uint8)),
                                     "followers": packed(np.diff(np.append(heads, len(k))).astype(np.uint32)),
                                     "words": np.ascontiguousarray(low).tobytes(),
                                     "counts": packed(planes(n[k])),
@@ -298,14 +324,14 @@ def _ask_bigrams(blocks: DataFrame, words: Words, parts: int) -> DataFrame:
                         )
                     begin = end
 
-    return blocks.mapInArrow(run, "p long, block long, histories binary, followers binary, words binary, counts binary, alone binary")
+    return map_arrow(blocks, run, "p long, block long, histories binary, spread binary, followers binary, words binary, counts binary, alone binary")
 
 
 def _answer_bigrams(asked: DataFrame, words: Words, folder: str) -> DataFrame:
     def run(t: pa.Table) -> pa.Table:
         p = int(t.column("p")[0].as_py())
         rows = t.to_pylist()
-        sizes, hs, ws, ns, cs, heads = [], [], [], [], [], []
+        sizes, hs, ws, ns, cs, heads, wide_heads = [], [], [], [], [], [], []
         for r in rows:
             h, f = unpacked(r["histories"], "<u8"), unpacked(r["followers"], "<u4").astype(np.int64)
             raw = np.frombuffer(r["words"], np.uint8).reshape(-1, 6)
@@ -313,6 +339,7 @@ def _answer_bigrams(asked: DataFrame, words: Words, folder: str) -> DataFrame:
             wide[:, :6] = raw
             hs.append(np.repeat(h, f))
             heads.append(h)
+            wide_heads.append(h[unpacked(r["spread"], "u1").astype(bool)])
             ws.append(wide.view("<u8").ravel())
             ns.append(unplaned(unpacked(r["counts"], "u1")))
             cs.append(unplaned(unpacked(r["alone"], "u1")))
@@ -338,9 +365,11 @@ def _answer_bigrams(asked: DataFrame, words: Words, folder: str) -> DataFrame:
             heads_at = np.concatenate([[0], np.flatnonzero(np.diff(hi[begin : begin + size])) + 1])
             short = np.minimum.reduceat(mine, heads_at) == 0
             made = [packed(planes(mine)), packed(total[k].astype(np.uint64).view(np.uint8).reshape(-1, 8).T), packed(np.where(short, mass[k], 0.0)), packed(planes(by_count[:, k].ravel()))]
-            out.append({"block": r["block"], "p": p, "answer": b"".join(len(x).to_bytes(8, "little") + x for x in made), "sums": None, "path": None})
+            out.append({"block": r["block"], "p": p, "answer": b"".join(len(x).to_bytes(8, "little") + x for x in made), "sums": None, "path": None, "spread": None})
             begin += size
-        out.append({"block": -1, "p": p, "answer": None, "sums": _of_counts(count), "path": path})
+        at = np.searchsorted(known, np.unique(np.concatenate(wide_heads)))
+        spread = np.concatenate([known[at].view(np.float64), total[at], mass[at], by_count[:, at].ravel()])  # a name's bits, then its sums
+        out.append({"block": -1, "p": p, "answer": None, "sums": _of_counts(count), "path": path, "spread": packed(spread)})
         return pa.Table.from_pylist(out, _KIND)
 
     return asked.groupBy("p").applyInArrow(run, _ANSWERS)
@@ -371,13 +400,13 @@ def backoff(total: np.ndarray, by_count: np.ndarray, mass: np.ndarray, d: np.nda
 _SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def _scores(blocks: DataFrame, words: Words, d2: np.ndarray, parts: int) -> DataFrame:
+def _scores(blocks: DataFrame, words: Words, d2: np.ndarray, parts: int, spread_sums: dict[int, np.ndarray]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 b = _Block(row)
                 c = _word_counts(b, row["words_path"], parts)
-                h, w, part, at, _ = b.bigrams(parts)
+                h, w, part, at, names, spread = b.bigrams(parts, c, words.tokens)
                 order = np.argsort(part, kind="stable")
                 ends = np.concatenate([[0], np.cumsum(np.bincount(part, minlength=parts))])
                 p = np.zeros(len(h))
@@ -385,8 +414,12 @@ def _scores(blocks: DataFrame, words: Words, d2: np.ndarray, parts: int) -> Data
                     k = order[ends[q] : ends[q + 1]]
                     n, total, mass, by_count = (unpacked(x, t) for x, t in zip(_unframed(data), ("u1", "u1", "<f8", "u1"), strict=True))
                     n, total = unplaned(n), np.ascontiguousarray(total.reshape(8, -1).T).view("<u8").ravel().astype(np.float64)
-                    scale, weight = backoff(total, unplaned(by_count).reshape(MOST, -1).astype(np.float64), mass, d2)
-                    of = np.cumsum(np.concatenate([[True], h[k][1:] != h[k][:-1]])) - 1
+                    by_count, mass = unplaned(by_count).reshape(MOST, -1).astype(np.float64), mass.copy()
+                    new = np.concatenate([[True], h[k][1:] != h[k][:-1]])
+                    of, heads = np.cumsum(new) - 1, h[k][new]
+                    for i in np.flatnonzero(spread[heads]).tolist():
+                        total[i], mass[i], *by_count[:, i] = spread_sums[int(names[heads[i]])]
+                    scale, weight = backoff(total, by_count, mass, d2)
                     n = n.astype(np.int64)
                     direct = scale[of] * d2[np.minimum(n, MOST + 1)] * n / np.maximum(total[of], 1)
                     p[k] = np.where(n > 0, direct, weight[of] * words.p(c[w[k]]))
@@ -404,7 +437,7 @@ def _scores(blocks: DataFrame, words: Words, d2: np.ndarray, parts: int) -> Data
                 ]
                 yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in _SCORES.split(", ")])
 
-    return blocks.mapInArrow(run, _SCORES)
+    return map_arrow(blocks, run, _SCORES)
 
 
 @dataclass
@@ -428,9 +461,9 @@ def score_corpus(docs: DataFrame, parts: int | None = None) -> tuple[DataFrame,
     the unseen word.
     """
     spark = docs.sparkSession
-    parts = parts or 2 * shuffle_parts(spark)
     word_folder, bigram_folder, answers = (new_path(spark, x) for x in ("katz-words", "katz-bigrams", "katz-answers"))
     blocks = _blocks(docs)
+    parts = parts or max(2 * shuffle_parts(spark), blocks.count() * BLOCK_TOKENS // PART_TOKENS)
     word_answers = _filed(_answer_words(_ask_words(blocks, parts), word_folder), f"{answers}/words")
     tokens, distinct, *of_counts = _sums(word_answers, MOST + 3)
     reclaim(spark)
@@ -439,9 +472,10 @@ def score_corpus(docs: DataFrame, parts: int | None = None) -> tuple[DataFrame,
     blocks_words = blocks.join(_paths(path(word_answers, "words_path")), "block")
     bigram_answers = _filed(_answer_bigrams(_ask_bigrams(blocks_words, words, parts), words, bigram_folder), f"{answers}/bigrams")
     d2 = discounts(np.array(_sums(bigram_answers, MOST + 1)))
+    spread = _spread(bigram_answers)
     both = blocks_words.join(_paths(path(bigram_answers, "bigrams_path")), "block")
     files = word_answers.union(bigram_answers).filter("block < 0").select("path")
-    return _scores(both, words, d2, parts), Model(words, d2, word_folder, bigram_folder, files)
+    return _scores(both, words, d2, parts, spread), Model(words, d2, word_folder, bigram_folder, files)
 
 
 def _paths(of_blocks: DataFrame, rows: int = 200_000) -> DataFrame:
