@@ -1,20 +1,31 @@
 """Tokenizing whole texts with the public tokenizers, each distinct word once.
 
-A byte-level BPE never merges across the start of a space-led word, nor a word BPE across white
-space, so a text's ids are the ids of its pieces one after another. Workers keep the ids of the
-pieces met so far; a piece met again costs a lookup.
+A byte-level BPE never merges across the white space that starts a word, nor a word BPE across any
+white space, so a text's ids are the ids of its pieces one after another. Arrow cuts the texts of a
+batch and finds the distinct pieces; only those are looked up, and the ids are gathered for all
+pieces at once. Workers keep the ids of the pieces met lately, in two generations: when the younger
+is full it becomes the older, and what is asked for again comes back, so memory is bounded.
 """
 
 from __future__ import annotations
 
 import os
-import re
 from array import array
+from collections.abc import Iterable
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
+#: Stands where a text is cut; texts that hold it are encoded whole.
+CUT = "\0"
+#: A space or line end that no white space follows, which is always the start of a token.
+LED = r"([ \n])([^\s\v\x1c-\x1f\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200b}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}])"
+#: Signs that may follow a word's letters.
+SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+
 
 def default_path(name: str) -> str:
     import public_tokenizers
@@ -29,82 +40,125 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
-class NotAlone(Exception):
-    """The piece's ids depend on what stands beside it."""
-
-
-class _Known(dict):
-    """Ids of the pieces met so far."""
-
-    def __init__(self, encoder: "Encoder"):
-        self.encoder = encoder
-
-    def __missing__(self, piece: str) -> bytes:
-        self[piece] = ids = self.encoder.ids_of(piece)
-        return ids
-
-
 class Encoder:
     """Ids of texts as the tokenizer gives them with add_special_tokens=False.
 
-    The strings of special tokens in a text are ordinary text, so no text can forge one.
-    ``kind`` is "byte" (a word keeps the space before it) or "word" (white space only separates).
+    As in that call, the string of a special token in a text is that token. ``kind`` is "byte" (a word
+    keeps the white space before it) or "word" (white space only separates).
     """
 
-    def __init__(self, path: str, kind: str, limit: int = 600_000):
+    def __init__(self, path: str, kind: str, limit: int = 400_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
-        self.kind, self.limit, self.lead = kind, limit, " " if kind == "byte" else ""
-        self.known = _Known(self)
-        self.split: set[str] = set()  # letters that normalising makes more than letters, so no word of its own
+        self.kind, self.limit = kind, limit
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.letters = _byte_letters()
-        # A cut before a space that a non-space follows is always an end of a token.
-        self.cut = re.compile(r"(?= [^\s])")
-        # Ids of what often follows a word's letters; a letter before it always ends a token.
-        self.tails = {t: self.plain(t).tobytes() for t in ("", ".", ",", "|", "\n", ".\n", ",\n")}
+        self.space, self.line = (self.letters[0x20], self.letters[0x0A]) if kind == "byte" else ("", "")
+        starts = [i for t, i in self.tokenizer.get_vocab().items() if t[0] in (self.space, self.line)]
+        self.starts = np.zeros(max(starts, default=0) + 1, bool)
+        self.starts[starts] = True
+        self.tails: dict[str, bytes] = {"": b""}  # ids of signs after letters, which always end a token
 
     def plain(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
 
-    def word(self, letters: str) -> bytes | None:
-        """Ids of one word of letters only, which the tokenizer's pre-tokenizer leaves whole; None where it would not."""
-        if self.kind == "word":
-            letters = letters.lower() if letters.isascii() else self.tokenizer.normalizer.normalize_str(letters)
-            if not letters.isalpha():
-                return None
-        inner = (self.lead + letters).encode().decode("latin-1").translate(self.letters)
-        return array("I", [t.id for t in self.model.tokenize(inner)]).tobytes()
-
-    def ids_of(self, piece: str) -> bytes:
-        """Ids of a piece with its leading space; NotAlone for one whose ids depend on its neighbours."""
-        core = piece.rstrip(".,|\n")
-        if self.kind == "byte" and (not piece or piece[0].isspace()):
-            raise NotAlone
-        if core.isalpha() and core not in self.split and (tail := piece[len(core) :]) in self.tails:
-            if ids := self.known.get(core) or self.word(core):
-                self.known[core] = ids
-                return ids + self.tails[tail]
-            self.split.add(core)
-        return self.plain(self.lead + piece).tobytes()
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.known) > self.limit:
-            self.known.clear()
-        get = self.known.__getitem__
+    def inner(self, text: str) -> str:
+        return text if text.isascii() else text.encode().decode("latin-1").translate(self.letters)
+
+    def words(self, keys: list[str]) -> list[bytes]:
+        """Ids of words of letters only, which the pre-tokenizer leaves whole: led by their space or line end, or bare."""
         if self.kind == "word":
-            return [np.frombuffer(b"".join(map(get, t.replace("\n", " ").split(" "))), "<u4") for t in texts]
+            return [array("I", [t.id for t in self.model.tokenize(self.inner(k))]).tobytes() for k in keys]
         out = []
-        for text in texts:
-            first, *rest = text.split(" ")
-            try:
-                body = b"".join(map(get, rest))
-            except NotAlone:  # spaces follow one another: cut only where a token is sure to end
-                first, *rest = self.cut.split(text)
-                body = b"".join([get(x[1:]) for x in rest])
-            out.append(np.frombuffer(self.plain(first).tobytes() + body, "<u4"))
+        for i in range(0, len(keys), 64):  # no token reaches over the start of a led word, so some are merged in one call
+            ids = np.array([t.id for t in self.model.tokenize("".join(keys[i : i + 64]))], "<u4")
+            at = (4 * np.flatnonzero(self.starts[np.minimum(ids, len(self.starts) - 1)])).tolist()
+            raw = ids.tobytes()
+            out += [raw[a:b] for a, b in zip(at, [*at[1:], len(raw)], strict=True)]
+        return out
+
+    def learn(self, pieces: Iterable[str]) -> None:
+        """Gets the ids of pieces that aren't known."""
+        keys: dict[str, int] = {}
+        made: list[tuple[str, int, str, int]] = []
+        older, known, space, line, byte = self.older.get, self.known, self.space, self.line, self.kind == "byte"
+        for piece in pieces:
+            if (ids := older(piece)) is not None:
+                known[piece] = ids
+                continue
+            lead, body, skip = "", piece, 0
+            if byte:
+                if piece[:1] == " ":
+                    lead, body = space, piece[1:]
+                elif piece[:1] == "\n":
+                    lead, body = line, piece[1:]
+                else:  # what starts a text has the ids that it has after a line end
+                    lead, skip = line, 4
+            core = body.rstrip(SIGNS)
+            if core.isalpha():
+                if byte:
+                    key = lead + (core if core.isascii() else self.inner(core))
+                else:
+                    key = core.lower() if core.isascii() else self.tokenizer.normalizer.normalize_str(core)
+                if byte or key.isalpha():
+                    made.append((piece, keys.setdefault(key, len(keys)), body[len(core) :], skip))
+                    continue
+            known[piece] = self.plain(piece).tobytes()
+        of = self.words(list(keys))
+        for piece, key, tail, skip in made:
+            if tail not in self.tails:
+                self.tails[tail] = self.plain(tail).tobytes()
+            known[piece] = of[key][skip:] + self.tails[tail]
+
+    def encode(self, texts: pa.Array, size: int = 4 << 20) -> list[np.ndarray]:
+        """The ids of each text; a null is empty. About ``size`` bytes of text are worked on at once."""
+        texts = (texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts).cast(pa.large_string()).fill_null("")
+        ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
+        out, begin = [], 0
+        while begin < len(texts):
+            end = max(begin + 1, int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + size)))
+            out += self._encode(texts.slice(begin, end - begin))
+            begin = end
+        return out
+
+    def _encode(self, texts: pa.Array) -> list[np.ndarray]:
+        if 2 * len(self.known) > self.limit:
+            self.older, self.known = self.known, {}
+        odd = pc.match_substring(texts, CUT)
+        for content in self.special:
+            odd = pc.or_(odd, pc.match_substring(texts, content))
+        odd = np.flatnonzero(odd.to_numpy(zero_copy_only=False))
+        whole = {k: self.plain(texts[k].as_py()) for k in odd.tolist()}
+        if whole:
+            plain = np.ones(len(texts), bool)
+            plain[odd] = False
+            texts = pc.if_else(pa.array(plain), texts, "")
+        cut = pc.replace_substring(texts, "\n", " ") if self.kind == "word" else pc.replace_substring_regex(texts, LED, CUT + r"\1\2")
+        pieces = pc.split_pattern(cut, " " if self.kind == "word" else CUT)
+        coded = pieces.flatten().dictionary_encode()
+        distinct, at = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy()
+        ids = list(map(self.known.get, distinct))
+        new = [k for k, x in enumerate(ids) if x is None]
+        self.learn([distinct[k] for k in new])
+        for k in new:
+            ids[k] = self.known[distinct[k]]
+        lengths = np.fromiter(map(len, ids), np.int32, len(ids)) // 4
+        flat, starts = np.frombuffer(b"".join(ids), "<u4"), np.cumsum(lengths, dtype=np.int32) - lengths
+        n = lengths[at]
+        stops = np.cumsum(n, dtype=np.int32 if len(texts) > 1 else np.int64)
+        places = np.repeat(starts[at] - (stops - n), n)
+        places += np.arange(len(places), dtype=places.dtype)
+        flat = flat[places]
+        # A text's pieces are a list, never empty, of the flattened ones.
+        last = pieces.offsets.to_numpy() - pieces.offsets[0].as_py()
+        bounds = np.concatenate([[0], stops])[last].tolist()
+        out = [flat[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]
+        for k, found in whole.items():
+            out[k] = found
         return out
 
 

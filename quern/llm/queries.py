@@ -17,8 +17,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tokens = token_files.token_file_round_trip(table(spark, sf_dir, "documents"), encoding.default_path("byte_bpe_50k.json"))
-    return token_files.digests(tokens)
+    manifest, order = token_files.make_token_files(table(spark, sf_dir, "documents"), encoding.default_path("byte_bpe_50k.json"))
+    return token_files.digest_token_files(manifest, order)
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

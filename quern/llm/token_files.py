@@ -17,21 +17,23 @@ from __future__ import annotations
 import struct
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quern.llm.common import materialize, new_path, read_range, shuffle_parts, texts, write_file
+from quern.llm.common import delete, map_arrow, materialize, new_path, read_range, release, shuffle_parts, write_file
 from quern.llm.encoding import encoder
 
 MAGIC = b"QTOK1\0\0\0"
 #: For each control byte the lengths of its four values.
 LENGTHS = np.array([[(c >> (2 * k) & 3) + 1 for k in range(4)] for c in range(256)], np.uint8)
 _HEAD = "<8sIQQ"
+_LEAST = -(1 << 63)
 
 
 def encode_values(values: np.ndarray) -> tuple[bytes, bytes]:
@@ -74,101 +76,145 @@ def decode_values(control: np.ndarray, data: np.ndarray, counts: np.ndarray) ->
     return out
 
 
-def encode_ids(docs: DataFrame, path: str, kind: str, end_id: int) -> DataFrame:
-    """doc_id and its ids (little-endian uint32), the end id last, of every row; a null text is empty."""
+_SPOOL = "path string, n_docs long, counts binary"
+
+
+def encode_ids(docs: DataFrame, path: str, kind: str, end_id: int, spool_ids: int = 2_000_000) -> DataFrame:
+    """Encodes every text, the end id last, into spool files of about ``spool_ids`` ids; a null text is empty.
+
+    The written table has a row for each file: path, n_docs, and counts, how often each id is in it (a
+    compressed array of int64). A name belongs to one attempt of a task; files of other attempts are in no row.
+    """
+    folder = new_path(docs.sparkSession, "spool")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path, kind)
-        end = np.array([end_id], "<u4").tobytes()
+        enc, end = encoder(path, kind), np.array([end_id], "<u4")
+        held, ids, size = [], [], 0
+
+        def flush() -> pa.RecordBatch:
+            flat = np.concatenate(ids)
+            width = np.dtype("<u2") if flat.max() < 1 << 16 else np.dtype("<u4")
+            sizes = np.array([len(x) for x in ids], np.int64).reshape(-1, 2).sum(axis=1)
+            known = np.array([x is not None for x in held], np.uint8)
+            head = struct.pack("<QQ", len(held), width.itemsize) + np.array([x or 0 for x in held], "<i8").tobytes() + known.tobytes() + sizes.astype("<u4").tobytes()
+            name = f"{folder}/{uuid.uuid4().hex}.ids"
+            write_file(name, zstandard.ZstdCompressor(level=1).compress(head + flat.astype(width).tobytes()))
+            counts = zstandard.ZstdCompressor(level=1).compress(np.bincount(flat).astype("<i8").tobytes())
+            return pa.RecordBatch.from_pylist([{"path": name, "n_docs": len(held), "counts": counts}])
+
         for batch in batches:
-            for i in range(0, len(batch), 500):
-                part = batch.slice(i, 500)
-                ids = [x.tobytes() + end for x in enc.encode(texts(part.column("text")))]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(ids, pa.binary())], ["doc_id", "ids"])
+            for i in range(0, len(batch), 1000):
+                part = batch.slice(i, 1000)
+                for doc, found in zip(part.column("doc_id").to_pylist(), enc.encode(part.column("text")), strict=True):
+                    held.append(doc)
+                    ids += (found, end)
+                    size += len(found) + 1
+                    if size >= spool_ids:
+                        yield flush()
+                        held, ids, size = [], [], 0
+        if held:
+            yield flush()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, ids binary")
+    return materialize(map_arrow(rows, run, _SPOOL), "spool")
 
 
-def id_counts(encoded: DataFrame) -> DataFrame:
-    """How often each id occurs in the whole corpus; counted in each task first."""
+def read_spool(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """doc_ids, which of them are null, how many ids each document has, and all ids one after another."""
+    raw = zstandard.ZstdDecompressor().decompress(read_range(path))
+    n, width = struct.unpack_from("<QQ", raw)
+    doc, known = np.frombuffer(raw, "<i8", n, 16), np.frombuffer(raw, np.uint8, n, 16 + 8 * n)
+    sizes = np.frombuffer(raw, "<u4", n, 16 + 9 * n).astype(np.int64)
+    return doc, known == 0, sizes, np.frombuffer(raw, f"<u{width}", offset=16 + 13 * n)
+
+
+def id_counts(spool: DataFrame) -> DataFrame:
+    """How often each id occurs in the whole corpus; added up in each task first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for batch in batches:
-            joined = np.frombuffer(b"".join(batch.column("ids").to_pylist()), "<u4")
-            if len(joined):
-                more = np.bincount(joined, minlength=len(total))
+            for packed in batch.column("counts").to_pylist():
+                more = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), "<i8").copy()
+                if len(more) < len(total):
+                    more, total = total, more
                 more[: len(total)] += total
                 total = more
         ids = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(total[ids], pa.int64())], ["id", "n"])
 
-    return encoded.select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    return map_arrow(spool.select("counts"), run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+
+
+def frequency_order(spool: DataFrame) -> tuple[np.ndarray, int]:
+    """Ids by falling frequency, then rising id, and the number of all ids. At most the tokenizer's vocabulary is collected."""
+    rows = id_counts(spool).toPandas()
+    ids, n = rows["id"].to_numpy(np.int64), rows["n"].to_numpy(np.int64)
+    return ids[np.lexsort((ids, -n))].astype(np.uint32), int(n.sum())
 
 
-def frequency_order(encoded: DataFrame) -> np.ndarray:
-    """Ids by falling frequency, then rising id. At most the tokenizer's vocabulary is collected."""
-    rows = id_counts(encoded).collect()
-    return np.array([r.id for r in sorted(rows, key=lambda r: (-r.n, r.id))], np.uint32)
+def _bounds(docs: DataFrame, buckets: int) -> np.ndarray:
+    """Bounds of about even ranges of doc_id, null as the least: approximate quantiles, for which only doc_id is read."""
+    key = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LEAST)).alias("doc_id"))
+    found = key.approxQuantile("doc_id", [k / buckets for k in range(1, buckets)], 0.2 / buckets) if buckets > 1 else []
+    return np.array(found, np.float64).astype(np.int64)
 
 
-def _bounds(encoded: DataFrame, buckets: int) -> np.ndarray:
-    """Bounds of about even ranges of doc_id: approximate quantiles of doc_id alone, so the ids are not read for them."""
-    found = encoded.select("doc_id").approxQuantile("doc_id", [k / buckets for k in range(1, buckets)], 0.2 / buckets)
-    return np.unique(np.array(found, np.float64).astype(np.int64))
+def _buckets(doc: np.ndarray, bounds: np.ndarray, salt: np.ndarray) -> np.ndarray:
+    """The bucket of each doc_id; a doc_id that fills several buckets is spread over them, as equal ones have no order."""
+    first, last = np.searchsorted(bounds, doc, "left"), np.searchsorted(bounds, doc, "right")
+    return first + salt % (last - first + 1)
 
 
-def write_token_files(encoded: DataFrame, folder: str, order: np.ndarray, file_ids: int = 4_000_000) -> DataFrame:
+def write_token_files(docs: DataFrame, spool: DataFrame, folder: str, order: np.ndarray, n_ids: int, file_ids: int = 4_000_000, part_ids: int = 16_000_000) -> DataFrame:
     """Writes the ids in ascending doc_id order (null first); returns the manifest.
 
-    The rows go by ranges of doc_id as coded bytes, and each range is written to files of about
-    ``file_ids`` ids. The manifest has a row for each file: path, part and number (its place in the
-    order), n_docs, n_ids, and start, the ids before it. A name belongs to one attempt of a task;
-    only the files of the attempts that count are in the manifest.
+    ``spool`` has the ids of ``docs``. They go by ranges of doc_id as coded bytes, about ``part_ids`` ids
+    a part, and each range is written to files of about ``file_ids`` ids. The manifest has a row for
+    each file: path, part and number (its place in the order), n_docs, n_ids, and start, the ids before
+    it. A name belongs to one attempt of a task; only the files of the attempts that count are in it.
     """
-    spark = encoded.sparkSession
+    spark = spool.sparkSession
     ranks = np.zeros(int(order.max()) + 1 if len(order) else 1, np.uint32)
     ranks[order] = np.arange(len(order), dtype=np.uint32)
     shared = spark.sparkContext.broadcast(ranks)
-    bounds = _bounds(encoded, 4 * shuffle_parts(spark))
+    parts = max(shuffle_parts(spark), -(-n_ids // part_ids))
+    bounds = _bounds(docs, 4 * parts)
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank = shared.value
         for batch in batches:
-            for i in range(0, len(batch), 2000):
-                part = batch.slice(i, 2000)
-                ids = part.column("ids").to_pylist()
-                doc = part.column("doc_id").fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False)
-                bucket = np.searchsorted(bounds, doc, "left").astype(np.int64)
-                counts = np.array([len(x) // 4 for x in ids], np.int64)
-                pairs = encode_many(rank[np.frombuffer(b"".join(ids), "<u4")], counts)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(bucket), pa.array(counts), pa.array([c for c, _ in pairs], pa.binary()), pa.array([d for _, d in pairs], pa.binary())],
-                    ["doc_id", "bucket", "n", "control", "data"],
-                )
+            for path in batch.column("path").to_pylist():
+                doc, null, sizes, ids = read_spool(path)
+                ends = np.cumsum(sizes)
+                bucket = _buckets(np.where(null, _LEAST, doc), bounds, sizes)
+                for a in range(0, len(doc), 1000):
+                    b = min(a + 1000, len(doc))
+                    pairs = encode_many(rank[ids[ends[a] - sizes[a] : ends[b - 1]]], sizes[a:b])
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(doc[a:b], pa.int64(), mask=null[a:b]), pa.array(bucket[a:b]), pa.array(sizes[a:b]), pa.array([c for c, _ in pairs], pa.binary()), pa.array([d for _, d in pairs], pa.binary())],
+                        ["doc_id", "bucket", "n", "control", "data"],
+                    )
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, number, held, size = -1, 0, [], 0
 
         def flush() -> pa.RecordBatch:
             path = f"{folder}/{part:06d}-{number:06d}-{uuid.uuid4().hex}.qtok"
-            ids = np.array([r["doc_id"] or 0 for r in held], "<i8").tobytes() + np.array([r["doc_id"] is None for r in held], np.uint8).tobytes()
-            counts = np.array([r["n"] for r in held], "<u4").tobytes()
+            doc, n, control, data = zip(*held, strict=True)
+            ids = np.array([x or 0 for x in doc], "<i8").tobytes() + np.array([x is None for x in doc], np.uint8).tobytes()
             head = struct.pack(_HEAD, MAGIC, len(held), size, 0)
-            write_file(path, head + ids + counts + b"".join(r["control"] for r in held) + b"".join(r["data"] for r in held))
+            write_file(path, b"".join([head, ids, np.array(n, "<u4").tobytes(), *control, *data]))
             return pa.RecordBatch.from_pylist([{"path": path, "part": part, "number": number, "n_docs": len(held), "n_ids": size}])
 
         for batch in batches:
-            for row in batch.to_pylist():
-                if held and row["bucket"] != part:
-                    yield flush()
-                    number, held, size = 0, [], 0
-                elif row["bucket"] != part:
-                    number = 0
-                part = row["bucket"]
+            for bucket, *row in zip(*(batch.column(c).to_pylist() for c in ("bucket", "doc_id", "n", "control", "data")), strict=True):
+                if bucket != part:
+                    if held:
+                        yield flush()
+                    part, number, held, size = bucket, 0, [], 0
                 held.append(row)
-                size += row["n"]
+                size += row[1]
                 if size >= file_ids:
                     yield flush()
                     number, held, size = number + 1, [], 0
@@ -176,21 +222,21 @@ def write_token_files(encoded: DataFrame, folder: str, order: np.ndarray, file_i
             yield flush()
 
     order_by = ["bucket", F.col("doc_id").asc_nulls_first(), "n", "control", "data"]
-    coded = encoded.mapInArrow(code, "doc_id long, bucket long, n long, control binary, data binary")
-    ranged = coded.repartition(shuffle_parts(spark), "bucket").sortWithinPartitions(*order_by)
-    files = materialize(ranged.mapInArrow(write, "path string, part long, number long, n_docs long, n_ids long"), "manifest")
+    coded = map_arrow(spool.select("path").repartition(parts, "path"), code, "doc_id long, bucket long, n long, control binary, data binary")
+    ranged = coded.repartition(parts, "bucket").sortWithinPartitions(*order_by)
+    files = materialize(map_arrow(ranged, write, "path string, part long, number long, n_docs long, n_ids long"), "files")
     parts = files.groupBy("part").agg(F.sum("n_ids").alias("of_part")).withColumn("before", F.sum("of_part").over(W.orderBy("part")) - F.col("of_part"))
     inside = F.sum("n_ids").over(W.partitionBy("part").orderBy("number")) - F.col("n_ids")
     return files.withColumn("inside", inside).join(parts, "part").select("path", "part", "number", "n_docs", "n_ids", (F.col("before") + F.col("inside")).alias("start"))
 
 
-def read_token_files(manifest: DataFrame, order: np.ndarray) -> DataFrame:
-    """Decodes the files: doc_id, start (ids of all documents before it) and ids (little-endian uint32)."""
+def _documents(manifest: DataFrame, order: np.ndarray, made: Callable[[np.ndarray, np.ndarray], pa.Array], name: str, kind: str) -> DataFrame:
+    """Decodes the files: doc_id, start (ids of all documents before it), n_tokens, and what ``made`` gives of 1,000 documents' ids and their ends."""
     spark = manifest.sparkSession
     shared = spark.sparkContext.broadcast(order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of = shared.value
+        ids_of = shared.value.astype("<u4")
         for batch in batches:
             for row in batch.to_pylist():
                 raw = read_range(row["path"])
@@ -208,40 +254,46 @@ def read_token_files(manifest: DataFrame, order: np.ndarray) -> DataFrame:
                 ends = np.cumsum(counts)
                 for i in range(0, n, 1000):
                     k = slice(i, i + 1000)
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(doc[k], pa.int64(), mask=null[k]),
-                            pa.array((ends - counts)[k] + row["start"], pa.int64()),
-                            pa.array([ids[e - c : e].astype("<u4").tobytes() for e, c in zip(ends[k].tolist(), counts[k].tolist(), strict=True)], pa.binary()),
-                        ],
-                        ["doc_id", "start", "ids"],
-                    )
+                    first = int(ends[i] - counts[i])
+                    columns = [pa.array(doc[k], pa.int64(), mask=null[k]), pa.array((ends - counts)[k] + row["start"], pa.int64()), pa.array(counts[k])]
+                    yield pa.RecordBatch.from_arrays([*columns, made(ids[first : int(ends[k][-1])], ends[k] - first)], ["doc_id", "start", "n_tokens", name])
 
-    return manifest.repartition(shuffle_parts(spark), "path").mapInArrow(run, "doc_id long, start long, ids binary")
+    return map_arrow(manifest.repartition(shuffle_parts(spark), "path"), run, f"doc_id long, start long, n_tokens long, {name} {kind}")
 
 
-def token_file_round_trip(docs: DataFrame, path: str, kind: str = "byte", end_id: int = 2) -> DataFrame:
-    """Encodes every text, writes the files, reads them back: doc_id, start, ids.
+def _parts(ids: np.ndarray, ends: np.ndarray) -> Iterator[memoryview]:
+    raw, begin = memoryview(ids).cast("B"), 0
+    for end in (4 * ends).tolist():
+        yield raw[begin:end]
+        begin = end
+
+
+def read_token_files(manifest: DataFrame, order: np.ndarray) -> DataFrame:
+    """Decodes the files: doc_id, start (ids of all documents before it), n_tokens and ids (little-endian uint32)."""
+    return _documents(manifest, order, lambda ids, ends: pa.array([x.tobytes() for x in _parts(ids, ends)], pa.binary()), "ids", "binary")
+
+
+def digest_token_files(manifest: DataFrame, order: np.ndarray) -> DataFrame:
+    """Decodes the files: doc_id, start, n_tokens and the CRC-32 of the ids, which stay in the task that reads them."""
+    return _documents(manifest, order, lambda ids, ends: pa.array([zlib.crc32(x) for x in _parts(ids, ends)], pa.int64()), "ids_crc32", "long")
+
+
+def make_token_files(docs: DataFrame, path: str, kind: str = "byte", end_id: int = 2) -> tuple[DataFrame, np.ndarray]:
+    """Encodes every text and writes the files; their manifest, and the ids by rank.
 
     Null texts are empty and get only the end id; null doc_ids come first; repeated rows are each
-    written, equal doc_ids in the order of their coded bytes. Other columns are ignored. An empty
-    table writes no file.
+    written, equal doc_ids in any order. Other columns are ignored. An empty table writes no file.
     """
     spark: SparkSession = docs.sparkSession
-    encoded = materialize(encode_ids(docs, path, kind, end_id), "ids")
-    order = frequency_order(encoded)
-    return read_token_files(write_token_files(encoded, new_path(spark, "tokens"), order), order)
-
+    spool = encode_ids(docs, path, kind, end_id)
+    order, n_ids = frequency_order(spool)
+    manifest = materialize(write_token_files(docs, spool, new_path(spark, "tokens"), order, n_ids), "manifest")
+    for folder in spool.select(F.regexp_extract("path", "^(.*)/", 1).alias("folder")).distinct().collect():  # the one folder of the spool
+        delete(spark, folder.folder)
+    release(spool)
+    return manifest, order
 
-def digests(tokens: DataFrame) -> DataFrame:
-    """doc_id, start, n_tokens and the CRC-32 of the ids."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column("ids").to_pylist()
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("start"), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([zlib.crc32(x) for x in ids], pa.int64())],
-                ["doc_id", "start", "n_tokens", "ids_crc32"],
-            )
-
-    return tokens.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+def token_file_round_trip(docs: DataFrame, path: str, kind: str = "byte", end_id: int = 2) -> DataFrame:
+    """Encodes every text, writes the files, reads them back: doc_id, start, n_tokens, ids. See :func:`make_token_files`."""
+    return read_token_files(*make_token_files(docs, path, kind, end_id))
