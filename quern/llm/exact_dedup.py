@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import ASCII_SPACE, map_batches, materialize, shuffle_parts, text_bytes, without
+from quern.llm.common import ASCII_SPACE, RID, join_groups, map_arrow, map_batches, materialize, numbered, shuffle_parts, text_bytes, without_rows
 
 #: Chunks have about MASK + 1 bytes more than MIN_CHUNK, and no more than MAX_CHUNK.
 MASK, MIN_CHUNK, MAX_CHUNK, WINDOW = 2047, 512, 16384, 16
@@ -71,24 +71,27 @@ def _recipes(df: DataFrame, digest: Callable[[bytes], bytes]) -> DataFrame:
         bare = [normalized(x) for x in data]
         return pa.RecordBatch.from_arrays(
             [
-                batch.column("rid"),
+                batch.column(RID),
                 batch.column("doc_id"),
-                batch.column("text_key"),
                 pa.array([len(x.decode()) for x in data], pa.int64()),
                 pa.array([hashlib.sha256(x).hexdigest() for x in bare]),
                 pa.array([b"".join(map(digest, chunks(x))) for x in bare], pa.binary()),
             ],
-            ["rid", "doc_id", "text_key", "n_points", "text_sha256", "recipe"],
+            [RID, "doc_id", "n_points", "text_sha256", "recipe"],
         )
 
-    return map_batches(df, run, "rid long, doc_id long, text_key long, n_points long, text_sha256 string, recipe binary")
+    return map_batches(df, run, f"{RID} long, doc_id long, n_points long, text_sha256 string, recipe binary")
 
 
-def _clashes(df: DataFrame, digest: Callable[[bytes], bytes], remembered: int = 20_000) -> DataFrame:
-    """Names that stand for more than one chunk. Each task sends a chunk it has met before only once."""
+def _clashes(df: DataFrame, digest: Callable[[bytes], bytes], remembered: int = 16 << 20) -> DataFrame:
+    """Names that stand for more than one chunk.
+
+    A task doesn't send again a chunk that is among the last ``remembered`` bytes of chunks it sent.
+    """
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met: dict[bytes, bytes] = {}
+        held = 0
         for batch in batches:
             names, bodies, size = [], [], 0
             for text in text_bytes(batch.column("text")):
@@ -96,9 +99,11 @@ def _clashes(df: DataFrame, digest: Callable[[bytes], bytes], remembered: int =
                     name = digest(chunk)
                     if met.get(name) == chunk:
                         continue
-                    if len(met) >= remembered:
+                    if held >= remembered:
                         met.clear()
+                        held = 0
                     met[name] = chunk
+                    held += len(chunk) + 150  # with what Python adds
                     names.append(name)
                     bodies.append(chunk)
                     size += len(chunk)
@@ -118,54 +123,53 @@ def _clashes(df: DataFrame, digest: Callable[[bytes], bytes], remembered: int =
                     bad.append(a)
             yield pa.RecordBatch.from_arrays([pa.array(bad, pa.binary())], ["name"])
 
-    sent = df.mapInArrow(emit, "name binary, body binary")
-    return sent.repartition(shuffle_parts(df.sparkSession), "name").sortWithinPartitions("name").mapInArrow(compare, "name binary")
+    sent = map_arrow(df.select("text"), emit, "name binary, body binary")
+    return map_arrow(sent.repartition(shuffle_parts(df.sparkSession), "name").sortWithinPartitions("name"), compare, "name binary")
 
 
-def recipes(docs: DataFrame, digests: Sequence[Callable[[bytes], bytes]] = DIGESTS) -> DataFrame:
-    """One row per document: rid (a number of the row), doc_id, n_points, text_sha256 and its verified recipe."""
-    df = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("text_key"))
+def recipes(rows: DataFrame, digests: Sequence[Callable[[bytes], bytes]] = DIGESTS) -> DataFrame:
+    """One row for each of the numbered ``rows``: its number, doc_id, n_points, text_sha256 and its verified recipe."""
+    df = rows.select(RID, F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     for digest in digests:
         if not _clashes(df, digest).limit(1).collect():
             return materialize(_recipes(df, digest), "recipes")
     raise ValueError("every digest gave different chunks one name")
 
 
-def exact_duplicates(docs: DataFrame, digests: Sequence[Callable[[bytes], bytes]] = DIGESTS, few: int = 50_000) -> DataFrame:
-    """Groups documents whose texts are identical without ASCII white space.
-
-    Returns one row per input row: rid, doc_id, keep_id, group_size, kept, text_sha256, text_key (a
-    hash of the original text). Of a group
-    the row with the most code points in its original text stays, then the smallest doc_id (null
-    last), then the first of repeated rows. Null texts count as empty; empty texts are one group.
-    Other columns are ignored. An empty table gives an empty result. The recipes that repeat are
-    broadcast if a count proves them ``few``, so a large group of copies meets in no task.
-    """
-    table = recipes(docs, digests)
-    best: Column = F.max(F.struct("n_points", (-F.col("doc_id")).alias("neg_id"), (-F.col("rid")).alias("neg_rid")))
+def _decided(rows: DataFrame, digests: Sequence[Callable[[bytes], bytes]]) -> DataFrame:
+    """:func:`exact_duplicates` of numbered rows, with their numbers."""
+    table = recipes(rows, digests)
+    best: Column = F.max(F.struct("n_points", (-F.col("doc_id")).alias("neg_id"), (-F.col(RID)).alias("neg_rid")))
     groups = table.groupBy("recipe").agg(best.alias("best"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     groups = materialize(groups.select("recipe", "n", (-F.col("best.neg_id")).alias("first_id"), (-F.col("best.neg_rid")).alias("first_rid")), "repeated")
-    if groups.limit(few + 1).count() <= few:
-        groups = F.broadcast(groups)
     single = F.col("n").isNull()
-    return table.join(groups, "recipe", "left").select(
-        "rid",
+    return join_groups(table, groups, "recipe", "n").select(
+        RID,
         "doc_id",
         F.when(single, F.col("doc_id")).otherwise(F.col("first_id")).alias("keep_id"),
         F.coalesce("n", F.lit(1)).cast("long").alias("group_size"),
-        (single | (F.col("rid") == F.col("first_rid"))).alias("kept"),
+        (single | (F.col(RID) == F.col("first_rid"))).alias("kept"),
         "text_sha256",
-        "text_key",
     )
 
 
+def exact_duplicates(docs: DataFrame, digests: Sequence[Callable[[bytes], bytes]] = DIGESTS) -> DataFrame:
+    """Groups documents whose texts are identical without ASCII white space.
+
+    Returns one row per input row: doc_id, keep_id, group_size, kept, text_sha256. Of a group the row
+    with the most code points in its original text stays, then the smallest doc_id (null last), then
+    the first of repeated rows. Null texts count as empty; empty texts are one group. Other columns
+    are ignored. An empty table gives an empty result. Large groups are joined by a broadcast of
+    bounded size and small ones by a shuffle of recipes, so a group of copies meets in no task.
+    """
+    return _decided(numbered(docs.select("doc_id", "text")), digests).drop(RID)
+
+
 def drop_duplicates(docs: DataFrame) -> DataFrame:
-    """``docs`` with one row of each group left, the one :func:`exact_duplicates` keeps; all columns stay."""
-    keyed = docs.withColumn("_quern_key", F.xxhash64("text"))
-    table = materialize(exact_duplicates(docs), "groups")
-    rows = table.groupBy("doc_id", F.col("text_key").alias("_quern_key")).agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
-    rows = materialize(rows, "decided")
-    out = without(keyed, rows.filter("NOT kept").select("doc_id", "_quern_key"), ["doc_id", "_quern_key"])
-    if rows.filter("kept AND n > 1").limit(1).collect():  # a row that is there more than once
-        out = out.dropDuplicates(["doc_id", "_quern_key"])
-    return out.drop("_quern_key")
+    """``docs`` with one row of each group left, the one :func:`exact_duplicates` keeps; all columns stay.
+
+    Rows go by their numbers, not by doc_id, so null and repeated doc_ids do no harm, and texts aren't moved.
+    """
+    rows = numbered(docs)
+    table = materialize(_decided(rows, DIGESTS).select(RID, "kept"), "decided")
+    return without_rows(rows, table.filter("NOT kept"), table)
