@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quern.llm import decontaminate, encoding, exact_dedup, jaccard_join, packing, toxicity
-from quern.llm.common import materialize
+from quern.llm.common import materialize, release
 from quern.llm.queries import table
 
 
@@ -48,7 +48,10 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages one after another, each on the written result of the one before, which goes when the next is written."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        made = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        release(docs)
+        docs = made
     return STAGES[-1][1](spark, docs, sf_dir)
