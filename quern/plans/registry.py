@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from quern.functions import ids, scoring, text
 from quern.operators import chunking, collections, enrich, headers, ingest, markdown, search, stats, views
 from quern.plans import sql
-from quern.sources import readers
+from quern.sources import blobs, readers
 from quern.sources.shipping import ship
 from quern.streaming.folders import written
 
@@ -749,6 +749,27 @@ def converter_ladder(spark, sf_dir):
     return readers.converted_by(f, readers.ladder(_first_rung, _second_rung, wait=0.0, pause=0.0))
 
 
+_PADS = ["".join(f"\\x{b ^ n:02X}" for b in b"a key".ljust(64, b"\0")) for n in (0x36, 0x5C)]
+
+
+@query(
+    f"""WITH p AS (SELECT doc_id, CASE WHEN doc_id % 7 <> 0 THEN 'uploads/acme/documents/doc_' || doc_id END AS path, CAST(900 + doc_id AS VARCHAR) AS t FROM documents)
+    SELECT doc_id, 'https://files/' || path || '?expires=' || t || '&signature=' || sha256('{_PADS[1]}'::BLOB || unhex(sha256('{_PADS[0]}'::BLOB || encode(path || chr(10) || t)))) AS url FROM p"""
+)
+def signed_urls(spark, sf_dir):
+    name = F.when(F.col("doc_id") % 7 != 0, F.concat(F.lit("doc_"), F.col("doc_id").cast("string")))
+    path = F.when(name.isNotNull(), blobs.blob_path(F.lit("acme"), "documents", name))
+    return docs(spark, sf_dir).select("doc_id", blobs.signed_url("https://files/", path, "a key", F.col("doc_id")).alias("url"))
+
+
+@query("SELECT 'uploads/acme/pages/' || page_id AS path, CAST(octet_length(encode(html)) AS BIGINT) AS size, CAST(NULL AS VARCHAR) AS error FROM pages")
+def uploaded_blobs(spark, sf_dir):
+    from quern.streaming.folders import scratch
+
+    f = readers.table(spark, sf_dir, "pages").select(blobs.blob_path(F.lit("acme"), "pages", F.col("page_id").cast("string")).alias("path"), F.col("html").cast("binary").alias("content"))
+    return blobs.upload(f, scratch(spark))
+
+
 @query("SELECT page_id, page_id % 3 = 0 AS image FROM pages")
 def image_rule(spark, sf_dir):
     kind = F.get(F.array(F.lit("image/png"), F.lit("text/html"), F.lit(None)), (F.col("page_id") % 3).cast("int"))

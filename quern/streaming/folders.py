@@ -15,7 +15,10 @@ def scratch(spark: SparkSession) -> str:
     if not base and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     base = base or tempfile.mkdtemp(prefix="quern-stream-")
-    return f"{base.rstrip('/')}/quern-stream-{uuid.uuid4().hex}"
+    # A path without a scheme is of the cluster's default file system, for Spark and for workers alike.
+    path = spark._jvm.org.apache.hadoop.fs.Path(base)
+    whole = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).makeQualified(path).toString()
+    return f"{whole.rstrip('/')}/quern-stream-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame) -> DataFrame:

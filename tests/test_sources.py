@@ -1,9 +1,12 @@
-"""Sources, conversion, settings and streaming."""
+"""Sources, conversion, settings, files and streaming."""
+
+import hashlib
+import hmac
 
 from pyspark.sql import functions as F
 
 from quern.operators import markdown
-from quern.sources import readers
+from quern.sources import blobs, readers
 from quern.streaming import ingest
 
 
@@ -44,3 +47,22 @@ def test_stream_adds_and_retracts(spark, tmp_path):
 
     assert [tuple(r) for r in stats.net_corpus(corpus).collect()] == [("docling_s", 1, 2)]
     assert sorted((r.term, r.df) for r in stats.net_terms(terms).collect()) == [("aa", 1), ("cc", 1)]
+
+
+def test_blobs(spark, tmp_path):
+    root = tmp_path.as_uri()
+    files = spark.createDataFrame([("a/b.txt", b"abc"), ("c.txt", b"")], "path string, content binary")
+    assert sorted(tuple(r) for r in blobs.upload(files, root).collect()) == [("a/b.txt", 3, None), ("c.txt", 0, None)]
+    assert (tmp_path / "a/b.txt").read_bytes() == b"abc"
+    gone = spark.createDataFrame([("a/b.txt",), ("none",)], "path string")
+    assert {r.path: r.deleted for r in blobs.remove(gone, root).collect()} == {"a/b.txt": True, "none": False}
+    assert not (tmp_path / "a/b.txt").exists()
+
+
+def test_signatures(spark):
+    df = spark.createDataFrame([("é/x",), (None,)], "path string").withColumn("s", blobs.signature("kéy", F.col("path")))
+    assert [r.s for r in df.collect()] == [hmac.new("kéy".encode(), "é/x".encode(), hashlib.sha256).hexdigest(), None]
+    made = df.select("path", blobs.signed_url("http://f", F.col("path"), "k", F.lit(100)).alias("u"))
+    parts = made.select("path", F.regexp_extract("u", r"expires=(\d+)", 1).cast("long").alias("t"), F.regexp_extract("u", "signature=(.*)", 1).alias("s")).filter("path IS NOT NULL")
+    for now, path, want in ((1000, F.col("path"), True), (1001, F.col("path"), False), (1000, F.lit("y"), False)):
+        assert parts.select(blobs.is_valid(path, F.col("t"), F.col("s"), "k", F.lit(now)).alias("ok")).first().ok is want
