@@ -57,8 +57,8 @@ def _words(text: Column) -> Column:
 def terms(text: Column, normalize: bool = True) -> Column:
     """Search terms of a text. Without ``normalize`` the text must be in NFKC already."""
     source = nfkc(F.coalesce(text, F.lit(""))) if normalize else F.coalesce(text, F.lit(""))
-    # Texts without CJK characters, which most are, need no second look at their runs.
-    return F.when(source.rlike(f"[{CJK}]"), F.flatten(F.transform(runs(source), run_terms))).otherwise(_words(source))
+    # Texts without a character from where CJK characters are need no second look at their runs.
+    return F.when(source.rlike(r"[\x{1100}-\x{11FF}\x{2E80}-\x{10FFFF}]"), F.flatten(F.transform(runs(source), run_terms))).otherwise(_words(source))
 
 
 def legacy_terms(text: Column) -> Column:
@@ -69,7 +69,7 @@ def legacy_terms(text: Column) -> Column:
 def counted(tokens: Column) -> Column:
     """array<struct<term, tf>> of an array of terms, sorted by term; linear after the sort, and within the row."""
     kind = "array<struct<term: string, tf: int>>"
-    ordered = F.array_sort(tokens)
+    ordered = F.sort_array(tokens)  # without a comparator, which would be a lambda
     # Terms and the places where the next one starts; the places are differences of term frequencies.
     starts = lambda s: F.filter(F.sequence(F.lit(1), F.size(s)), lambda k: (k == 1) | (s[k - 1] != s[k - 2]))
     sizes = lambda s, at: F.transform(at, lambda a, j: F.struct(s[a - 1].alias("term"), (F.coalesce(F.get(at, j + 1), F.size(s) + 1) - a).cast("int").alias("tf")))

@@ -70,8 +70,16 @@ def corpus_stats(points: DataFrame) -> DataFrame:
     return out.withColumn("avgdl", F.col("total_dl") / F.greatest("n", F.lit(1)))
 
 
-def term_stats(points: DataFrame) -> DataFrame:
-    return net_terms(term_deltas(points))
+def term_stats(points: DataFrame, queries: DataFrame | None = None) -> DataFrame:
+    """(collection, term, df) of all terms, or of those that some of ``queries`` (collection, tokens) has.
+
+    The terms asked for are broadcast if a count proves them few, and only they are counted.
+    """
+    if queries is None:
+        return net_terms(term_deltas(points))
+    asked = few(queries.select("collection", F.explode("tokens").alias("term")).distinct(), 500_000)
+    rows = indexed(points).select("collection", F.explode(F.transform("terms", lambda t: t["term"])).alias("term")).join(asked, ["collection", "term"], "left_semi")
+    return rows.groupBy("collection", "term").agg(F.count(F.lit(1)).alias("df"))
 
 
 def postings(points: DataFrame, stats: DataFrame, average: float | None = None) -> DataFrame:
@@ -102,19 +110,3 @@ def query_weights(queries: DataFrame, stats: DataFrame, terms: DataFrame) -> Dat
     rows = rows.join(few(stats.select("collection", "n")), "collection", "left").join(terms, ["collection", "term"], "left")
     weight = F.col("tf") * scoring.idf(F.coalesce("n", F.lit(DEFAULT_N)), F.coalesce("df", F.lit(0)))
     return rows.select("collection", "query_id", "term", F.col("tf").cast("long").alias("tf"), weight.alias("weight"))
-
-
-def matched(points: DataFrame, queries: DataFrame, most: int = 20_000) -> DataFrame:
-    """Index rows of all points, with only the terms that some of ``queries`` has in the same collection.
-
-    A search needs no other terms, neither their postings nor their document frequencies. Where the
-    queries have more than ``most`` terms in a collection, all terms stay.
-    """
-    asked = queries.select("collection", F.explode("tokens").alias("term")).groupBy("collection").agg(F.collect_set("term").alias("asked"))
-    largest = asked.agg(F.max(F.size("asked")), F.count(F.lit(1))).first()
-    if (largest[0] or 0) > most or largest[1] > 1000 or "terms" in points.columns:
-        return indexed(points)
-    rows = points.join(F.broadcast(asked), "collection", "left")
-    common = F.coalesce(F.array_intersect("tokens", "asked"), F.array().cast("array<string>"))
-    hits = F.transform(F.array(common), lambda c: F.filter("tokens", lambda t: F.array_contains(c, t)))[0]
-    return rows.select("collection", "point_id", F.size("tokens").alias("dl"), hits.alias("hits")).select("collection", "point_id", "dl", counted(F.col("hits")).alias("terms"))

@@ -81,18 +81,19 @@ def item_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.select(F.lit("all").alias("collection"), F.col("item_id").alias("query_id"), text.terms(F.col("text")).alias("tokens"))
 
 
-def matched(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The index of all documents, with the terms that items ask for; written, as statistics and postings both read it."""
-    return written(stats.matched(points(spark, sf_dir, one=True), item_queries(spark, sf_dir)))
+def index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The index of all documents; written, as statistics and postings both read it."""
+    return written(stats.indexed(points(spark, sf_dir, one=True)))
 
 
-def weighted(spark: SparkSession, sf_dir: str, index: DataFrame) -> DataFrame:
-    return stats.query_weights(item_queries(spark, sf_dir), stats.corpus_stats(index), stats.term_stats(index))
+def weighted(spark: SparkSession, sf_dir: str, rows: DataFrame) -> DataFrame:
+    queries = item_queries(spark, sf_dir)
+    return stats.query_weights(queries, stats.corpus_stats(rows), stats.term_stats(rows, queries))
 
 
 def sparse(spark: SparkSession, sf_dir: str, depth: int = 20) -> DataFrame:
-    index = matched(spark, sf_dir)
-    return search.sparse_topk(stats.postings(index, stats.corpus_stats(index)), weighted(spark, sf_dir, index), depth)
+    rows = index(spark, sf_dir)
+    return search.sparse_topk(stats.postings(rows, stats.corpus_stats(rows)), weighted(spark, sf_dir, rows), depth)
 
 
 def dense_points(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -157,7 +158,7 @@ def tf_norm_postings(spark, sf_dir):
 
 @query(f"WITH {sql.ALL_POINTS}, {sql.QUERIES} SELECT query_id, term, tf, round(weight, 6) AS weight FROM qw")
 def query_weights(spark, sf_dir):
-    return weighted(spark, sf_dir, matched(spark, sf_dir)).select("query_id", "term", "tf", W6(F.col("weight")).alias("weight"))
+    return weighted(spark, sf_dir, index(spark, sf_dir)).select("query_id", "term", "tf", W6(F.col("weight")).alias("weight"))
 
 
 @query(f"WITH {sql.ALL_POINTS} SELECT term, CAST(('0x' || substr(sha1(term), 1, 8))::UBIGINT AS BIGINT) AS idx FROM terms")
@@ -242,7 +243,7 @@ def _parents(spark, sf_dir):
 
 
 def _searched(spark, sf_dir, reranker=None, settings=None, limit=20):
-    return search.search_documents(_parents(spark, sf_dir), matched(spark, sf_dir), full_queries(spark, sf_dir), limit, settings, reranker)
+    return search.search_documents(_parents(spark, sf_dir), index(spark, sf_dir), full_queries(spark, sf_dir), limit, settings, reranker)
 
 
 _CHUNKS = """c AS (SELECT coalesce(doc_id, vec_id) AS id, coalesce(text, '') AS text, CASE WHEN doc_id % 5 <> 0 THEN 'p' || (doc_id % 7) END AS parent_id, 'doc_' || doc_id AS filename, CAST(doc_id % 50 AS INT) AS first_page, lang AS title FROM documents FULL JOIN embeddings ON vec_id = doc_id)"""
@@ -294,7 +295,7 @@ def search_sendables(spark, sf_dir):
         F.col("doc_id").alias("id"), "text", F.concat(F.lit("SF-"), name).alias("index"), F.concat(F.lit("doc_"), name).alias("filename"), F.col("lang").alias("title"), F.concat(F.lit("u/"), name).alias("url"),
         F.when(F.col("doc_id") % 3 == 0, "png").otherwise("pdf").alias("file_type"), F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("u/"), name)).alias("asset_url"),
     )
-    out = search.search_sendables(d.join(dense_points(spark, sf_dir), "id", "full"), matched(spark, sf_dir), full_queries(spark, sf_dir), 5)
+    out = search.search_sendables(d.join(dense_points(spark, sf_dir), "id", "full"), index(spark, sf_dir), full_queries(spark, sf_dir), 5)
     return out.select("query_id", "id", "index", "filename", F.md5("text").alias("text_md5"), "file_type", "asset_url", W6(F.col("score")).alias("score"), W6(F.col("rrf_score")).alias("rrf_score"))
 
 
