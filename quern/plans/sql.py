@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from quern.functions.text import STOP_WORDS
-
-_STOP = "[" + ", ".join(f"'{w}'" for w in STOP_WORDS) + "]"
+#: The English words that are no search terms, stated here apart from the engine's own list.
+_STOP = (
+    "['a','an','the','and','or','not','of','to','in','on','for','with','at','by','from','is','are','was','were','be','been','being','as','that','this','those','these',"
+    "'it','its','they','them','he','she','we','you','your','our','their','i']"
+)
 _CJK = r"\p{Han}\p{Katakana}\p{Hiragana}\p{Hangul}"
 
 #: Search terms of column text.
