@@ -107,7 +107,6 @@ def texts(column: pa.ChunkedArray | pa.Array) -> list[str]:
 
 def _trim() -> None:
     """Gives memory that the worker no longer uses back to the system, as workers are used again by later tasks."""
-    gc.collect()
     with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
         ctypes.CDLL(None).malloc_trim(0)
 
@@ -152,7 +151,7 @@ def numbered(docs: DataFrame) -> DataFrame:
     if not spark.conf.get("spark.sql.files.minPartitionNum", None):  # else files are cut by the cores at hand, which may change
         spark.conf.set("spark.sql.files.minPartitionNum", str(spark.sparkContext.defaultParallelism))
     plan = docs._jdf.queryExecution().executedPlan().toString()
-    if re.search(r"Exchange|InArrow|InPandas|EvalPython|Limit|Sample|Union|Join|Generate|InMemory|\brand", plan):
+    if re.search(r"Exchange|InArrow|InPandas|EvalPython|Limit|Sample|Union|Join|Generate|InMemory(Table|Rel)|\brand", plan):
         docs = materialize(docs, "numbered")
     return docs.withColumn(RID, F.monotonically_increasing_id())
 
