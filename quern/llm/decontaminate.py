@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quern.llm.common import free_name, new_path, read_range, text_bytes, without_column, write_file
+from quern.llm.common import free_name, map_arrow, new_path, read_range, text_bytes, without_column, write_file
 
 #: Words in a window; fixed by the contract of the contamination rule.
 WINDOW = 13
@@ -145,7 +145,7 @@ def _covered(matches: list[dict]) -> int:
     return total
 
 
-def load_benchmark(benchmark: DataFrame, window: int = WINDOW, block_bytes: int = 32 << 20) -> Iterator[Benchmark]:
+def load_benchmark(benchmark: DataFrame, window: int = WINDOW, block_bytes: int = 2 << 20) -> Iterator[Benchmark]:
     """The items in blocks of at most ``block_bytes`` of text (or one longer item), read one after another."""
     items, size = [], 0
     rows = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text"))
@@ -159,7 +159,7 @@ def load_benchmark(benchmark: DataFrame, window: int = WINDOW, block_bytes: int
     yield Benchmark(items, window)
 
 
-def find_benchmark_passages(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_bytes: int = 6 << 20, column: str = "passages") -> DataFrame:
+def find_benchmark_passages(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_bytes: int = 6 << 20, column: str = "passages", block_bytes: int = 2 << 20) -> DataFrame:
     """Adds to each row of ``docs`` its n_words, n_hit, item_ids, matches and whether it is contaminated.
 
     A window is ``window`` consecutive words of an item; an item of fewer words, but not none, is one
@@ -169,12 +169,13 @@ def find_benchmark_passages(docs: DataFrame, benchmark: DataFrame, window: int =
     Null and empty texts have no words and are clean; equal rows get equal results. The added columns
     stand in one struct, ``column``, which takes the place of a column of ``docs`` with that name.
 
-    A benchmark of at most 32 MB is broadcast. A larger one is cut into blocks of that size, which
-    stand in the shared folder; each shard reads one after another and merges the matches.
+    The first ``block_bytes`` of the benchmark's text, about 40 MB of arrays, are broadcast. A larger one is
+    cut into blocks of that size, one at a time on the driver, which stand in the shared folder; each
+    shard reads one after another and merges the matches.
     """
     spark, docs = docs.sparkSession, without_column(docs, column)
     folder, paths, first = new_path(spark, "benchmark"), [], None
-    for k, block in enumerate(load_benchmark(benchmark, window)):
+    for k, block in enumerate(load_benchmark(benchmark, window, block_bytes)):
         if k == 0:
             first = spark.sparkContext.broadcast(block)
         else:
@@ -214,7 +215,7 @@ def find_benchmark_passages(docs: DataFrame, benchmark: DataFrame, window: int =
                     yield part.append_column(column, pa.array(found(texts[begin : k + 1]), kind))
                     begin, size = k + 1, 0
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields]).add(column, T.StructType.fromDDL(SCHEMA)))
+    return map_arrow(docs, run, T.StructType([*docs.schema.fields]).add(column, T.StructType.fromDDL(SCHEMA)))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
