@@ -13,13 +13,15 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_right
 from collections.abc import Iterator, Sequence
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import texts
+from quern.llm.common import map_arrow, texts
 
 #: The base patterns, fixed by the contract; kinds in the order in which they sort.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -106,7 +108,8 @@ def entropy_spans(text: str, allowed: Sequence[re.Pattern] = ALLOWED) -> list[tu
 def all_spans(text: str, allowed: Sequence[re.Pattern] = ALLOWED) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
     """Base spans, and base with added spans; an added span inside a base one is left out."""
     base = base_spans(text)
-    added = [x for x in entropy_spans(text, allowed) if not any(b <= x[1] and x[2] <= e for _, b, e in base)]
+    starts, reach = [b for _, b, _ in base], list(accumulate((e for _, _, e in base), max))  # the furthest end of those that start no later
+    added = [x for x in entropy_spans(text, allowed) if not (k := bisect_right(starts, x[1])) or reach[k - 1] < x[2]]
     return base, sorted([*base, *added], key=lambda x: (x[1], KINDS.index(x[0])))
 
 
@@ -137,4 +140,4 @@ def scan_secrets(docs: DataFrame, allowed: Sequence[re.Pattern] = ALLOWED) -> Da
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, SCHEMA)
+    return map_arrow(rows, run, SCHEMA)
