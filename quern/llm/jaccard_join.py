@@ -27,13 +27,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import WordHashes, materialize, mix, release, shuffle_parts, text_bytes
+from quern.llm.common import RID, WordHashes, join_groups, map_arrow, marked, materialize, mix, numbered, release, shuffle_parts, text_bytes, without_rows, write_marks
 from quern.llm.components import components
 
 #: Words in a shingle, the least similarity in percent, and bits of the smallest and the largest sketch compared whole.
 WORDS, PERCENT, BITS, MOST_BITS = 5, 80, 1024, 1 << 16
 #: Up to so many documents that share a segment are paired with each other; entries packed at once.
-FEW, BLOCK_ENTRIES, BLOCK_COMPARED = 8, 3_000_000, 2048
+FEW, BLOCK_ENTRIES, BLOCK_COMPARED = 8, 2_000_000, 2048
+#: Entries that a worker looks for equal segments in at once.
+PART_ENTRIES = 2_000_000
 
 
 def shingles(text: bytes, hashes: WordHashes) -> np.ndarray:
@@ -105,7 +107,7 @@ def distances(a: list[bytes], b: list[bytes]) -> np.ndarray:
     return out
 
 
-_SKETCHES = "p int, node long, doc_id long, n long, set_id binary, sketch binary, small binary, emits boolean, keys binary, refs binary"
+_SKETCHES = f"p int, node long, {RID} long, doc_id long, n long, set_id binary, sketch binary, small binary, emits boolean, keys binary, refs binary"
 
 
 def _sketches(docs: DataFrame, parts: int) -> DataFrame:
@@ -139,19 +141,19 @@ def _sketches(docs: DataFrame, parts: int) -> DataFrame:
             begin = 0
             for p, end in enumerate(ends.tolist()):
                 if end > begin:
-                    row = [p, base, None, None, None, None, None, None, low[begin:end].tobytes(), idx[begin:end].tobytes()]
+                    row = [p, base, None, None, None, None, None, None, None, low[begin:end].tobytes(), idx[begin:end].tobytes()]
                     yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, kinds, strict=True)], names)
                 begin = end
 
-        kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.bool_(), pa.binary(), pa.binary()]
+        kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.bool_(), pa.binary(), pa.binary()]
         for batch in batches:
             for i in range(0, len(batch), 1000):
                 part = batch.slice(i, 1000)
                 rows = []
-                for doc, text in zip(part.column("doc_id").to_pylist(), text_bytes(part.column("text")), strict=True):
+                for rid, doc, text in zip(part.column(RID).to_pylist(), part.column("doc_id").to_pylist(), text_bytes(part.column("text")), strict=True):
                     h = shingles(text, hashes)
-                    if doc is None or not len(h):
-                        rows.append((None, 0, doc, len(h), None, None, None, False, None, None))
+                    if not len(h):
+                        rows.append((None, 0, rid, doc, 0, None, None, None, False, None, None))
                         continue
                     if size >= BLOCK_ENTRIES or count >= 1 << 20:
                         yield from flush()
@@ -168,16 +170,36 @@ def _sketches(docs: DataFrame, parts: int) -> DataFrame:
                         size += len(made)
                     whole = sketch(h) if emits else None
                     small = folded(np.frombuffer(whole, np.uint8)[None], BITS // 8).tobytes() if emits else None
-                    rows.append((None, node, doc, len(h), set_id, whole, small, emits, None, None))
+                    rows.append((None, node, rid, doc, len(h), set_id, whole, small, emits, None, None))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
         yield from flush()
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return materialize(rows.mapInArrow(run, _SKETCHES), "sketches")
+    return materialize(map_arrow(docs, run, _SKETCHES), "sketches")
 
 
-def _shared(entries: DataFrame) -> DataFrame:
-    """Candidates (a, b) of equal segments, and the members (grp, a) of segments that more than FEW share."""
+def _dealt(entries: DataFrame, cuts: int) -> DataFrame:
+    """Packed entries by part and cut of a part, as a segment's key has it."""
+    if cuts == 1:
+        return entries.withColumn("cut", F.lit(0))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                keys, refs = np.frombuffer(row["keys"], np.uint32), np.frombuffer(row["refs"], np.uint32)
+                cut = mix(keys.astype(np.uint64)) % np.uint64(cuts)
+                rows = [row | {"cut": c, "keys": keys[cut == c].tobytes(), "refs": refs[cut == c].tobytes()} for c in np.unique(cut).tolist()]
+                yield pa.RecordBatch.from_pylist(rows, pa.schema([("p", pa.int32()), ("node", pa.int64()), ("keys", pa.binary()), ("refs", pa.binary()), ("cut", pa.int32())]))
+
+    return map_arrow(entries, run, "p int, node long, keys binary, refs binary, cut int")
+
+
+def _shared(entries: DataFrame, parts: int) -> DataFrame:
+    """Candidates (a, b) of equal segments, and the members (grp, a) of segments that more than FEW share.
+
+    A worker has one cut of a part at once, about PART_ENTRIES entries, so its memory doesn't grow with the corpus.
+    """
+    total = entries.agg(F.sum(F.octet_length("keys"))).first()[0] or 0
+    entries = _dealt(entries, -(-total // (4 * parts * PART_ENTRIES)) or 1)
 
     def run(table: pa.Table) -> pa.Table:
         keys = [np.frombuffer(x.as_py(), np.uint32) for x in table.column("keys")]
@@ -210,7 +232,7 @@ def _shared(entries: DataFrame) -> DataFrame:
             }
         )
 
-    return materialize(entries.groupBy("p").applyInArrow(run, "grp long, a long, b long"), "shared")
+    return materialize(entries.groupBy("p", "cut").applyInArrow(run, "grp long, a long, b long"), "shared")
 
 
 def _alike(na: np.ndarray, nb: np.ndarray, apart: np.ndarray) -> np.ndarray:
@@ -235,26 +257,36 @@ def _allowed(pairs: DataFrame, nodes: DataFrame, by: str, sketches: str) -> Data
     known = nodes.withColumn("key", F.col(by)).dropDuplicates(["key"])
     side = lambda x: known.select(F.col("key").alias(x), F.col("class").alias(f"c{x}"), F.col("n").alias(f"n{x}"), F.col(sketches).alias(f"s{x}"))
     wide = pairs.join(side("a"), "a").join(side("b"), "b").filter("ca <> cb").select("ca", "cb", "na", "nb", "sa", "sb")
-    return wide.mapInArrow(run, "a long, b long").distinct()
+    return map_arrow(wide, run, "a long, b long").distinct()
 
 
-def _verify(pairs: DataFrame, docs: DataFrame, members: int = 200, broadcast_rows: int = 200_000) -> DataFrame:
-    """The pairs (a, b) whose texts' shingle sets are similar enough.
+def _verify(pairs: DataFrame, docs: DataFrame, every: DataFrame, members: int = 200) -> DataFrame:
+    """The pairs (a, b) of row numbers whose texts' shingle sets are similar enough. ``every`` has all row numbers.
 
-    The text of b goes to a. An a with many partners is copied, so that each copy meets about ``members``.
+    The text of b goes to a; only texts in pairs are moved. An a with many partners is copied, so that
+    each copy meets about ``members``.
     """
     salted = pairs.join(pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / members).alias("copies")), "a")
     salted = salted.select("a", "b", F.pmod(F.xxhash64("b"), "copies").alias("salt"))
-    sent = salted.select(F.col("b").alias("doc_id"), "a", "salt", F.lit(1).alias("role"))
-    sent = materialize(sent.union(salted.select(F.col("a").alias("doc_id"), "a", "salt", F.lit(0).alias("role")).distinct()), "sent")
-    to = F.broadcast(sent) if sent.limit(broadcast_rows + 1).count() <= broadcast_rows else sent
-    rows = docs.join(to, "doc_id").repartition(shuffle_parts(docs.sparkSession), "a", "salt").sortWithinPartitions("a", "salt", "role", "doc_id")
+    sent = salted.select(F.col("b").alias(RID), "a", "salt", F.lit(1).alias("role"))
+    folder = write_marks(sent.union(salted.select(F.col("a").alias(RID), "a", "salt", F.lit(0).alias("role")).distinct()), every)
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, marks, at in marked(batches, folder):
+            for i in range(0, len(at), 500):  # a text may go to many
+                k = slice(i, i + 500)
+                part = marks.slice(i, 500).combine_chunks()
+                columns = [part.column(c).combine_chunks() if part.num_rows else pa.array([], part.schema.field(c).type) for c in ("a", "salt", "role", RID)]
+                yield pa.RecordBatch.from_arrays([*columns, batch.column("text").take(pa.array(at[k]))], ["a", "salt", "role", "b", "text"])
+
+    rows = map_arrow(docs.select(RID, "text"), send, "a long, salt long, role int, b long, text string")
+    rows = rows.repartition(shuffle_parts(docs.sparkSession), "a", "salt").sortWithinPartitions("a", "salt", "role", "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, at, mine = WordHashes(), None, np.zeros(0, np.uint64)
         for t in batches:
             found = []
-            for a, salt, role, doc, text in zip(*(t.column(c).to_pylist() for c in ("a", "salt", "role", "doc_id")), text_bytes(t.column("text")), strict=True):
+            for a, salt, role, b, text in zip(*(t.column(c).to_pylist() for c in ("a", "salt", "role", "b")), text_bytes(t.column("text")), strict=True):
                 h = shingles(text, hashes)
                 if role == 0:
                     if at != (a, salt):
@@ -262,10 +294,10 @@ def _verify(pairs: DataFrame, docs: DataFrame, members: int = 200, broadcast_row
                     continue
                 both = len(np.intersect1d(mine, h, assume_unique=True))
                 if 100 * both >= PERCENT * (len(mine) + len(h) - both):
-                    found.append((a, doc))
+                    found.append((a, b))
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["a", "b"])
 
-    return rows.select("a", "salt", "role", "doc_id", "text").mapInArrow(run, "a long, b long").distinct()
+    return map_arrow(rows, run, "a long, b long").distinct()
 
 
 def _across(pairs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -301,53 +333,72 @@ def _still_apart(groups: DataFrame, nodes: DataFrame, labels: DataFrame) -> Data
     return cells.groupBy("grp", "x", "y").applyInArrow(run, "a long, b long").distinct()
 
 
-def similar_components(docs: DataFrame, parts: int | None = None) -> DataFrame:
-    """doc_id, n_shingles and component_id (the smallest doc_id reachable by links) of every row.
-
-    Links join documents whose sets of distinct 5-word shingles (ASCII letters lower-cased, words
-    between ASCII white space) have a Jaccard similarity of at least 0.8. With fewer words the whole
-    sequence is the one shingle; null or empty texts have none and are linked with nothing, as are rows
-    without doc_id (component_id null). Rows that repeat a doc_id with the same text each get a row;
-    other columns are ignored; an empty table gives none.
-
-    ``parts`` is the number of parts that segment entries are dealt to, a few times the shuffle
-    partitions unless given; a part is worked on at once and should have some million entries.
-    """
-    spark = docs.sparkSession
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    table = _sketches(texts, parts or 2 * shuffle_parts(spark))
-    rows = table.filter("p IS NULL")
-    sets = rows.filter("set_id IS NOT NULL")
-    classes = materialize(sets.groupBy("set_id").agg(F.min("doc_id").alias("class")), "classes")
+def _linked(rows: DataFrame, parts: int | None) -> tuple[DataFrame, DataFrame]:
+    """For numbered rows: (RID, doc_id, n, set_id, linked), linked the number of a row of its component, null without shingles; and their components."""
+    spark = rows.sparkSession
+    texts = rows.select(RID, F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    parts = parts or 2 * shuffle_parts(spark)
+    table = _sketches(texts, parts)
+    of_rows = table.filter("p IS NULL")
+    sets = of_rows.filter("set_id IS NOT NULL")
+    classes = materialize(sets.groupBy("set_id").agg(F.min(RID).alias("class"), F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("members")), "classes")
     nodes = materialize(sets.filter("emits").join(classes, "set_id").select("node", "class", "n", "sketch", "small"), "nodes")
-    shared = _shared(table.filter("p IS NOT NULL").select("p", "node", "keys", "refs"))
+    shared = _shared(table.filter("p IS NOT NULL").select("p", "node", "keys", "refs"), parts)
     near = _allowed(shared.filter("grp IS NULL").select("a", "b").distinct(), nodes, "node", "small")
     left = materialize(_allowed(near, nodes, "class", "sketch"), "candidates")
     links = labels = None
-    tried = left
+    held = [left]
     for turn in ("nearest", "rest", "apart"):
         if turn == "nearest":  # a spanning part first: each joins the smallest it may be linked with
             todo = left.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
         elif turn == "rest":
             todo = _across(left.join(todo, ["a", "b"], "left_anti"), labels)
         else:
-            near = _still_apart(shared.filter("grp IS NOT NULL").select("grp", "a"), nodes, labels).join(tried, ["a", "b"], "left_anti")
+            near = _still_apart(shared.filter("grp IS NOT NULL").select("grp", "a"), nodes, labels).join(left, ["a", "b"], "left_anti")
             todo = _allowed(near, nodes, "class", "sketch")
         todo = materialize(todo, "todo")
+        held.append(todo)
         if turn != "nearest" and not todo.limit(1).count():
             continue
-        found = materialize(_verify(todo, texts), "links")
+        found = materialize(_verify(todo, texts, of_rows), "links")
+        held.append(found)
         links = found if links is None else links.union(found)
         labels = components(links)
-    release(shared, nodes)
-    of_set = classes.join(labels.withColumnRenamed("node", "class"), "class", "left").select("set_id", F.coalesce("component", "class").alias("linked"))
-    out = rows.select("doc_id", "n", "set_id").join(of_set, "set_id", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("linked", "doc_id").alias("component_id"))
+        held.append(labels)
+    of_set = classes.join(labels.withColumnRenamed("node", "class"), "class", "left").select("set_id", "least", "members", F.coalesce("component", "class").alias("linked"))
+    of_set = materialize(of_set, "sets")
+    release(shared, nodes, classes, *held)
+    wide = join_groups(of_rows.select(RID, "doc_id", "n", "set_id").filter("set_id IS NOT NULL"), of_set.select("set_id", "linked", "members"), "set_id", "members")
+    none = of_rows.filter("set_id IS NULL").select(RID, "doc_id", "n", "set_id", F.lit(None).cast("long").alias("linked"))
+    of_component = of_set.groupBy("linked").agg(F.min("least").alias("least"), F.sum("members").cast("long").alias("members"))
+    return wide.select(RID, "doc_id", "n", "set_id", "linked").unionByName(none), materialize(of_component, "components")
+
+
+def similar_components(docs: DataFrame, parts: int | None = None) -> DataFrame:
+    """doc_id, n_shingles and component_id (the smallest doc_id reachable by links) of every row.
+
+    Links join rows whose sets of distinct 5-word shingles (ASCII letters lower-cased, words between
+    ASCII white space) have a Jaccard similarity of at least 0.8. With fewer words the whole sequence
+    is the one shingle; null or empty texts have none, are linked with nothing and are their own
+    component. Rows are told apart by their number: a null doc_id links like any other, and its
+    component_id is null only if no doc_id is reachable; rows that repeat a doc_id each get a row, with
+    the same text or another. Other columns are ignored; an empty table gives none.
+
+    ``parts`` is the number of parts that segment entries are dealt to, a few times the shuffle
+    partitions unless given; parts of more than some million entries are cut.
+    """
+    rows, found = _linked(numbered(docs.select("doc_id", "text")), parts)
+    linked = join_groups(rows.filter("linked IS NOT NULL"), found, "linked", "members").select("doc_id", F.col("n").alias("n_shingles"), F.col("least").alias("component_id"))
+    return linked.unionByName(rows.filter("linked IS NULL").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
 def drop_similar(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of each component left, the one with the smallest doc_id; all columns stay."""
-    from quern.llm.common import without
+    """``docs`` with one row of each component left, that with the smallest doc_id, null last, then the first; all columns stay.
 
-    found = materialize(similar_components(docs), "similar")
-    return without(docs, found.filter("component_id <> doc_id").select(F.col("doc_id")).distinct(), ["doc_id"])
+    Rows without shingles all stay. Rows go by their numbers, so null and repeated doc_ids do no harm.
+    """
+    rows = numbered(docs)
+    linked = materialize(_linked(rows, None)[0].select(RID, "doc_id", "linked"), "linked")
+    kept = linked.filter("linked IS NOT NULL").groupBy("linked").agg(F.max(F.struct((-F.col("doc_id")).alias("neg_id"), (-F.col(RID)).alias("neg_rid"))).alias("best"))
+    kept = kept.select((-F.col("best.neg_rid")).alias(RID))
+    return without_rows(rows, linked.filter("linked IS NOT NULL").join(kept, RID, "left_anti"), linked)
