@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quern.llm.common import materialize, texts
+from quern.llm.common import map_arrow, materialize
 from quern.llm.encoding import encoder
 
 
@@ -117,7 +117,7 @@ def cut_pieces(docs: DataFrame, path: str, kind: str, end_id: int, capacity: int
             for i in range(0, len(batch), 500):
                 part = batch.slice(i, 500)
                 rows = []
-                for doc, ids in zip(part.column("doc_id").to_pylist(), enc.encode(texts(part.column("text"))), strict=True):
+                for doc, ids in zip(part.column("doc_id").to_pylist(), enc.encode(part.column("text")), strict=True):
                     raw = ids.tobytes() + end
                     for k, at in enumerate(range(0, len(raw), 4 * capacity)):
                         piece = raw[at : at + 4 * capacity]
@@ -125,10 +125,11 @@ def cut_pieces(docs: DataFrame, path: str, kind: str, end_id: int, capacity: int
                         rows.append((doc, k, at // 4, n, zlib.crc32(piece), task, int(seen[n])))
                         seen[n] += 1
                 names = ["doc_id", "piece", "start", "length", "ids_crc32", "task", "rank"]
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows, strict=True)], names)
+                kinds = [pa.int32() if x == "piece" else pa.int64() for x in names]
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return materialize(rows.mapInArrow(run, "doc_id long, piece long, start long, length long, ids_crc32 long, task long, rank long"), "pieces")
+    return materialize(map_arrow(rows, run, "doc_id long, piece int, start long, length long, ids_crc32 long, task long, rank long"), "pieces")
 
 
 def pack(docs: DataFrame, path: str, kind: str = "word", end_id: int = 1, capacity: int = 4096) -> DataFrame:
@@ -164,4 +165,4 @@ def pack(docs: DataFrame, path: str, kind: str = "word", end_id: int = 1, capaci
             yield pa.RecordBatch.from_arrays([*kept, pa.array(sequence), pa.array(offset)], ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
     ranked = pieces.join(base, ["length", "task"]).select("doc_id", "piece", "start", "length", "ids_crc32", "rank", "base")
-    return ranked.mapInArrow(place, "doc_id long, piece long, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return map_arrow(ranked, place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
