@@ -13,9 +13,11 @@ from __future__ import annotations
 
 import math
 import unicodedata
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quern.llm.common import free_name, texts, without_column
+from quern.llm.common import free_name, map_arrow, texts, without_column
 
 #: Letters of other scripts by the Latin letter they look like.
 HOMOGLYPHS = {
@@ -64,7 +66,16 @@ def _fold_table() -> dict[int, str]:
     return table | {c: " " for c in range(128) if not chr(c).isalnum() and chr(c) not in DIGITS}
 
 
-_FOLD = _fold_table()
+class _Folding(dict):
+    """The table, and for other characters: none for marks and characters without a width, a space for signs, themselves for letters."""
+
+    def __missing__(self, code: int) -> str:
+        kind = unicodedata.category(chr(code))
+        self[code] = "" if kind in ("Mn", "Me", "Cf") else chr(code) if kind[0] in "LN" or kind == "Mc" else " "
+        return self[code]
+
+
+_FOLD = _Folding(_fold_table())
 _ALIKE = {ord(c): letter for letter, alike in HOMOGLYPHS.items() for c in alike}
 
 
@@ -106,8 +117,11 @@ class Lexicon:
         if len(automaton):
             for end, (n, weight) in automaton.iter(folded):
                 (spans if weight == 0.0 else free).append((end - n, end, weight))
+        spans.sort()
+        reach = list(accumulate((y for _, y, _ in spans), max))  # the furthest end of the exceptions that start no later
         for a, b, weight in free:
-            if not any(x <= a and b <= y for x, y, _ in spans):
+            k = bisect_right(spans, (a, math.inf))
+            if not k or reach[k - 1] < b:
                 total += weight
         return total, folded.count(" ") - 1
 
@@ -132,7 +146,7 @@ def learn(rows: Iterable[tuple[str, int]], max_words: int = 2000, min_share: flo
     Entries are words, or beginnings of words, whose log-odds for toxic texts are at least ``min_odds``
     and that at least max(3, min_share of the toxic texts) hold. One enters if that many toxic texts hold
     it that have fewer than three entries so far, the one that covers most first. So words that only go
-    along with toxic ones stay out.
+    along with toxic ones stay out. The lexicon ends at ``max_words`` entries, if it gets that far.
     """
     folded = [(fold(t), int(y)) for t, y in rows]
     n = [sum(y == k for _, y in folded) for k in (0, 1)]
@@ -197,21 +211,22 @@ def held_out(doc_id: str = "doc_id"):
 def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 8_000) -> Lexicon:
     """Learns from at most ``sample_rows`` labelled rows, whole texts, those least in a hash of their doc_id.
 
-    Rows without a label, and held-out rows, are not learned from. Where no row of either label is
-    left, the lexicon is empty and every score low.
+    Rows without a label, and held-out rows, are not learned from; of rows that share a doc_id one is, that
+    with the least text, with the larger label. Where no row of either label is left, the lexicon is empty and every score low.
     """
     marked = labels.filter("toxic IN (0, 1)").filter(~held_out()).groupBy(F.col("doc_id").alias("labelled")).agg(F.max("toxic").alias("toxic"))
     # The rows are chosen by their labels alone and are at most sample_rows, so the texts stay where they are.
     chosen = F.broadcast(marked.orderBy(F.xxhash64("labelled"), "labelled").limit(sample_rows))
     rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).filter(~held_out())
-    found = rows.join(chosen, F.col("doc_id") == F.col("labelled")).select("text", "toxic").collect()
+    found = rows.join(chosen, F.col("doc_id") == F.col("labelled")).groupBy("labelled").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).collect()
     return learn(sorted((r.text, r.toxic) for r in found))
 
 
 def score_toxicity(docs: DataFrame, lexicon: Lexicon, threshold: float = 0.3, column: str = "toxicity") -> DataFrame:
     """Adds to each row of ``docs`` one struct, ``column``, of score and predicted (score >= threshold).
 
-    Null texts count as empty; empty texts get the score of no hit. Equal texts get equal scores. The
+    Null texts count as empty; empty texts get the score of no hit. Equal texts get equal scores, whatever
+    their doc_id, which may be null or repeated; a text of any length is scored whole. The
     struct takes the place of a column of ``docs`` with that name.
     """
     docs = without_column(docs, column)
@@ -223,7 +238,7 @@ def score_toxicity(docs: DataFrame, lexicon: Lexicon, threshold: float = 0.3, co
             scores = [lexicon.score(*lexicon.features(fold(t), automaton)) for t in texts(batch.column("text"))]
             yield batch.append_column(column, pa.array([{"score": s, "predicted": int(s >= threshold)} for s in scores], kind))
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields]).add(column, T.StructType.fromDDL("score double, predicted int")))
+    return map_arrow(docs, run, T.StructType([*docs.schema.fields]).add(column, T.StructType.fromDDL("score double, predicted int")))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
