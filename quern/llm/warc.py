@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import materialize, new_path, read_range, release, shuffle_parts, write_file
+from quern.llm.common import RID, join_groups, map_arrow, marked, materialize, new_path, numbered, read_range, release, shuffle_parts, write_file, write_marks
 
 MAGIC = b"WARC/1.1\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -59,7 +59,9 @@ def parse_header(data: bytes, at: int) -> tuple[dict[str, str], int] | None:
         if not colon:
             return None
         fields[key.decode("latin-1").strip().lower()] = value.decode("utf-8", "replace").strip()
-    return (fields, end + 4) if fields.get("content-length", "").isdecimal() else None
+    length = fields.get("content-length", "")
+    # More digits than a 64-bit number has are no length of a block, so this is no header.
+    return (fields, end + 4) if length.isascii() and length.isdigit() and len(length) <= 18 else None
 
 
 def read_on(path: str, data: bytes, start: int, at: int, size: int) -> bytes:
@@ -74,21 +76,20 @@ def read_on(path: str, data: bytes, start: int, at: int, size: int) -> bytes:
     return data
 
 
-def write_archives(pages: DataFrame, folder: str, min_revisit: int = 0, file_bytes: int = 32 << 20, few: int = 200_000) -> DataFrame:
+def write_archives(pages: DataFrame, folder: str, min_revisit: int = 0, file_bytes: int = 16 << 20) -> DataFrame:
     """Writes a record per row of ``pages`` and returns the files: path, size.
 
     Of rows whose html is equal and at least ``min_revisit`` bytes long, the one with the largest
-    page_id is a response and the others revisit it; a null html is empty. The payloads that occur more
-    than once are broadcast if a count proves them ``few``, so the html stays where it is; else it is shuffled.
+    page_id is a response and the others revisit it; a null html is empty, and rows without a page_id
+    are all responses if no row of their payload has one. Payloads are compared by their SHA-256 and row
+    numbers, so the html is read twice and never shuffled.
     """
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
-    rows = rows.withColumn("key", F.sha2(F.col("html").cast("binary"), 256))
-    groups = rows.groupBy("key").agg(F.max("page_id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    groups = materialize(groups, "payloads")
-    if groups.limit(few + 1).count() <= few:
-        groups = F.broadcast(groups)
-    again = (F.col("page_id").isNull() | (F.col("page_id") != F.col("first"))) & (F.octet_length("html") >= min_revisit)
-    marked = rows.join(groups, "key", "left").select("page_id", "url", "html", F.when(again, F.col("first")).alias("refers_to"))
+    html = F.coalesce(F.col("html").cast("string"), F.lit(""))
+    rows = numbered(pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html")))
+    payloads = materialize(rows.select(RID, "page_id", F.sha2(F.col("html").cast("binary"), 256).alias("key"), F.octet_length("html").alias("size")), "payloads")
+    groups = payloads.filter(F.col("size") >= min_revisit).groupBy("key").agg(F.max("page_id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    again = join_groups(payloads, materialize(groups, "repeated"), "key", "n").filter("first IS NOT NULL AND (page_id IS NULL OR page_id <> first)")
+    marks = write_marks(again.select(RID, F.col("first").alias("refers_to")), payloads)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -98,9 +99,10 @@ def write_archives(pages: DataFrame, folder: str, min_revisit: int = 0, file_byt
             write_file(path, b"".join(held))
             return pa.RecordBatch.from_pylist([{"path": path, "size": size}])
 
-        for batch in batches:
-            for page, url, html, refers in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html", "refers_to")), strict=True):
-                data = record(page, url, html.encode(), refers)
+        for batch, found, at in marked(batches, marks):
+            refers = dict(zip(at.tolist(), found.column("refers_to").to_pylist(), strict=True))
+            for k, (page, url, body) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html")), strict=True)):
+                data = record(page, url, body.encode(), refers.get(k))
                 held.append(data)
                 size += len(data)
                 if size >= file_bytes:
@@ -109,7 +111,7 @@ def write_archives(pages: DataFrame, folder: str, min_revisit: int = 0, file_byt
         if held:
             yield flush()
 
-    return materialize(marked.mapInArrow(run, "path string, size long"), "archives")
+    return materialize(map_arrow(rows, run, "path string, size long"), "archives")
 
 
 def _leaps(files: DataFrame, split_bytes: int) -> DataFrame:
@@ -141,7 +143,7 @@ def _leaps(files: DataFrame, split_bytes: int) -> DataFrame:
                 rows = [{"path": split["path"], "at": a, "leap": b} for a, b in leap.items() if b <= split["size"]]
                 yield pa.RecordBatch.from_pylist(rows, pa.schema([("path", pa.string()), ("at", pa.int64()), ("leap", pa.int64())]))
 
-    return splits.repartition(shuffle_parts(files.sparkSession), "path", "begin").mapInArrow(run, "path string, at long, leap long")
+    return map_arrow(splits.repartition(shuffle_parts(files.sparkSession), "path", "begin"), run, "path string, at long, leap long")
 
 
 def reachable(files: DataFrame, split_bytes: int) -> DataFrame:
@@ -215,7 +217,7 @@ def read_archives(files: DataFrame, split_bytes: int = 4 << 20) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows[i : i + 500], strict=True), kinds, strict=True)], schema=kinds)
 
     wide = entries.select("path", "at", "size").repartition(shuffle_parts(files.sparkSession), "path", "at")
-    return wide.mapInArrow(run, "page_id long, record_type string, target_uri string, payload_bytes long, payload_digest string, refers_to long, payload binary")
+    return map_arrow(wide, run, "page_id long, record_type string, target_uri string, payload_bytes long, payload_digest string, refers_to long, payload binary")
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
