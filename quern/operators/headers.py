@@ -42,7 +42,7 @@ def verified(files: DataFrame, proposed: DataFrame) -> DataFrame:
     seen = asked.join(texts, ["file", "line"], "left").withColumn("like", F.when(F.col("found").rlike(r"\S") & F.col("snippet").rlike(r"\S"), similarity(short(F.col("snippet")), short(F.col("found")))))
     good = F.coalesce(F.col("like") >= ACCEPT, F.lit(False))
     stay = seen.filter(good).select("file", "line", "confidence", "title")
-    lost = seen.filter(~good).drop("found", "like", "line")
+    lost = seen.filter(~good).filter(F.col("snippet").rlike(r"\S")).drop("found", "like", "line")
     moved = enrich.match_lines(files, lost.select("file", "snippet_id", "start", "snippet"), REACH, PASS).select("file", "snippet_id", (F.col("line") + 1).cast("int").alias("line"))
     return stay.unionByName(lost.join(moved, ["file", "snippet_id"]).select("file", "line", "confidence", "title"))
 

@@ -616,9 +616,9 @@ def header_windows(spark, sf_dir):
 
 
 def _third_line(asked: DataFrame) -> DataFrame:
-    """Proposes each window's third line, one line too early; its first words are the snippet."""
+    """Proposes each window's third line, which is the snippet."""
     line = F.get(F.split("text", "\n"), F.lit(2))
-    return asked.select("file", "start", (F.col("start") + 2).cast("int").alias("line"), line.alias("snippet"), F.concat(F.lit("T"), F.col("start").cast("string")).alias("title"), F.lit(0.9).alias("confidence"))
+    return asked.select("file", "start", (F.col("start") + 3).cast("int").alias("line"), line.alias("snippet"), F.concat(F.lit("T"), F.col("start").cast("string")).alias("title"), F.lit(0.9).alias("confidence"))
 
 
 @query(
@@ -628,7 +628,7 @@ def _third_line(asked: DataFrame) -> DataFrame:
     SELECT file, md5(string_agg(CASE WHEN start IS NOT NULL AND regexp_matches(line, '\\S') AND NOT starts_with(trim(line), '#') THEN chr(10) || '## T' || start || chr(10) || chr(10) || line ELSE line END, chr(10) ORDER BY pos)) AS md FROM o GROUP BY file"""
 )
 def inject_headers(spark, sf_dir):
-    """The line proposed is blank or another one, so each header goes to the line that its snippet is most like."""
+    """Every window's third line gets a header, unless it is blank or a heading."""
     return headers.inject_headers(files(spark, sf_dir), _third_line).select("file", F.md5("md").alias("md"))
 
 
