@@ -783,6 +783,5 @@ def stream_stats_equals_batch(spark, sf_dir):
     from quern.streaming.folders import scratch
 
     folder = scratch(spark)
-    schema = docs(spark, sf_dir).schema
-    ingest.ingest(spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(sf_dir), f"{folder}/deltas", f"{folder}/checkpoint").awaitTermination()
+    ingest.ingest(readers.streamed_table(spark, sf_dir, "documents"), f"{folder}/deltas", f"{folder}/checkpoint").awaitTermination()
     return ingest.net(spark, f"{folder}/deltas")[0]

@@ -3,9 +3,13 @@
 import hashlib
 import hmac
 
+import duckdb
+import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from quern.operators import markdown
+from quern.plans import registry
 from quern.sources import blobs, readers
 from quern.streaming import ingest
 
@@ -49,6 +53,40 @@ def test_stream_adds_and_retracts(spark, tmp_path):
     assert sorted((r.term, r.df) for r in stats.net_terms(terms).collect()) == [("aa", 1), ("cc", 1)]
 
 
+@pytest.mark.parametrize("layout", ["file", "folder", "partitions"])
+def test_stream_reads_a_table_in_any_layout(spark, tmp_path, layout):
+    """Documents as one file, as a folder of part files, and below a folder for each language; another table lies beside them."""
+    made = tmp_path / "made 1%"
+    rows = [(k, f"aa b{k} b{k}" if k % 5 else None, "en" if k % 2 else "de", ("s", "t", "", None)[k % 4]) for k in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    docs.limit(3).write.parquet(str(made / "pages.parquet"))
+    if layout == "file":
+        docs.coalesce(1).write.parquet(str(tmp_path / "one"))
+        next((tmp_path / "one").glob("part-*.parquet")).rename(made / "documents.parquet")
+    else:
+        docs.repartition(3).write.partitionBy(*["lang"] * (layout == "partitions")).parquet(str(made / "documents.parquet"))
+    files = str(made / "documents.parquet") + {"file": "", "folder": "/*.parquet", "partitions": "/*/*.parquet"}[layout]
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{files}', hive_partitioning = true)")
+    want = con.sql(registry.ORACLE_SQL["stream_stats_equals_batch"]).fetchall()
+    got = registry.QUERIES["stream_stats_equals_batch"](spark, str(made))
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str) and len(want) == 4
+    batches = spark.read.parquet(str(made / "documents.parquet"))
+    stream = readers.streamed_table(spark, str(made), "documents")
+    assert stream.isStreaming and stream.schema == batches.schema
+    seen = []
+    stream.writeStream.foreachBatch(lambda df, _: seen.extend(df.collect())).option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start().awaitTermination()
+    assert sorted(seen, key=str) == sorted(batches.collect(), key=str)
+
+
+def test_stream_of_a_table_without_rows_and_of_none(spark, tmp_path):
+    docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string")
+    docs.write.parquet(str(tmp_path / "empty/documents.parquet"))
+    assert registry.QUERIES["stream_stats_equals_batch"](spark, str(tmp_path / "empty")).collect() == []
+    with pytest.raises(AnalysisException, match="PATH_NOT_FOUND"):
+        registry.QUERIES["stream_stats_equals_batch"](spark, str(tmp_path / "none"))
+
+
 def test_blobs(spark, tmp_path):
     root = tmp_path.as_uri()
     files = spark.createDataFrame([("a/b.txt", b"abc"), ("c.txt", b"")], "path string, content binary")
